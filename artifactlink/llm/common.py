@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def pieces_of(batch: pa.RecordBatch, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `max_bytes` of text each, so that working memory doesn't follow the batch size."""
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()]
+    sizes = [0 if n is None else n for n in pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()]
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > max_bytes:

@@ -17,6 +17,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artifactlink.llm.perplexity import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artifactlink.llm.exact_dedup import exact_dedup
 
@@ -48,7 +54,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
