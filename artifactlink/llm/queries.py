@@ -53,8 +53,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artifactlink.llm.neural_lm import lm_scores
+
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing, op9_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
