@@ -10,8 +10,11 @@ its smallest piece s is replaced by two unpacked pieces a, b when a + b fits the
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,34 +25,75 @@ from pyspark.sql import functions as F
 from artifactlink.llm.common import materialize, project, row_base, text_bytes
 from artifactlink.llm.token_counts import load_tokenizer
 
-#: Distinct pre-tokens whose ids a task keeps.
-CACHE = 400_000
+#: Distinct pre-tokens, and stems, whose ids a worker process keeps.
+CACHE = 600_000
 _PUNCTUATION = frozenset(b".,;:!?")
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian uint32 bytes; each pre-token (run without ASCII white space) is tokenised once."""
+    """Ids of texts as little-endian uint32 bytes; each pre-token (run without ASCII white space) is tokenised once.
+
+    The stems (letters in lower case) serve every case of a word and every mark after it. Stems are one piece of the tokenizer's own splitting, and their last id, alone, ends a word: many of
+    them are tokenised in one call and told apart by these ids. If the count differs they are tokenised one by one.
+    """
 
     def __init__(self, path: str, size: int = CACHE):
-        self.tok, self.size, self.known = load_tokenizer(path), size, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tok, self.size = load_tokenizer(path), size
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        marks = [bytes([m]) for m in _PUNCTUATION]
+        self.marks = {b"": b""} | dict(zip(marks, self._each(marks), strict=True))
+
+    def _each(self, words: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(words), 2000):
+            for e in self.tok.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
+    def _letters(self, words: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(words), 2000):
-            got = self.tok.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in got]
-        return out
+            some = words[i : i + 2000]
+            ids = np.array(self.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(some) or cuts[-1] != 4 * len(ids):
+                yield from self._each(some)
+                continue
+            raw = ids.tobytes()
+            yield from map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+
+    @staticmethod
+    def _stem(word: bytes) -> tuple[bytes, bytes] | None:
+        """The word's letters in lower case and the one mark after them, if this is all it has.
+
+        Letters below U+0130 have one-letter lower cases and no composition, as the tokenizer's normaliser has them."""
+        mark = b""
+        if word[-1] in _PUNCTUATION:
+            word, mark = word[:-1], word[-1:]
+        if word.isalpha():
+            return word.lower(), mark
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0130":
+            return text.lower().encode(), mark
+        return None
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.known) > self.size:
             self.known = {}
-        new = {w for t in texts for w in t if w not in self.known}
-        # ASCII letters with one mark after them are two pre-tokens of the tokenizer: their stem's ids serve every mark and case.
-        split = {w: (w[:-1].lower(), w[-1:]) for w in new if w[-1] in _PUNCTUATION and w[:-1].isalpha()}
-        need = list({x for p in split.values() for x in p if x not in self.known} | {w for w in new if w not in split})
-        self.known.update(zip(need, self._encode(need), strict=True))
-        for w, (a, b) in split.items():
-            self.known[w] = self.known[a] + self.known[b]
+        if len(self.stems) > self.size:
+            self.stems = {}
+        known, stems = self.known, self.stems
+        new = list(set().union(*texts).difference(known))
+        parts = [self._stem(w) for w in new]
+        need = {p[0] for p in parts if p}.difference(stems)
+        if need:
+            need = list(need)
+            stems.update(zip(need, self._letters(need), strict=True))
+        rest = [w for w, p in zip(new, parts, strict=True) if p is None]
+        known.update(zip(rest, self._each(rest), strict=True))
+        known.update([(w, stems[p[0]] + self.marks[p[1]]) for w, p in zip(new, parts, strict=True) if p])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
@@ -58,11 +102,17 @@ class CachedEncoder:
         return [b"".join(map(get, w)) for w in words]
 
 
+@lru_cache(maxsize=1)
+def cached_encoder(path: str) -> CachedEncoder:
+    """One for all tasks that a worker process runs; what it keeps is bounded by CACHE."""
+    return CachedEncoder(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, rid): only documents longer than `limit` are cut, all pieces full but the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rid, end = CachedEncoder(tokenizer_path), row_base(), np.array([end_id], "<u4").tobytes()
+        encode, rid, end = cached_encoder(tokenizer_path), row_base(), np.array([end_id], "<u4").tobytes()
         step = 4 * limit
         for b in batches:
             ids = b.column(0).to_pylist()
