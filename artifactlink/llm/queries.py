@@ -23,6 +23,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artifactlink.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artifactlink.llm.exact_dedup import exact_dedup
 
@@ -60,7 +66,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing, op9_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
