@@ -65,8 +65,14 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artifactlink.llm.langid import language_id
+
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing, op9_lm_scores, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
