@@ -27,11 +27,25 @@ from artifactlink.llm.common import materialize, pieces_of, text_bytes
 _P = 0x9E3779B97F4A7C15
 _WS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
-_DIGITS = str.maketrans("123456789\x00\x01", "000000000  ")
+#: Digits become 0; the two marks that the model uses become white space.
+_PLAIN = bytes(48 if 48 <= b <= 57 else 32 if b < 2 else b for b in range(256))
 
 
-def normalize(text: str) -> str:
-    return " ".join(text.lower().translate(_DIGITS).split())
+def normalize(text: bytes) -> str:
+    return " ".join(text.translate(_PLAIN).decode().lower().split())
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct value, where each element is among them, and their counts."""
+    by = np.argsort(x)
+    y = x[by]
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(y[1:], y[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    where = np.empty(len(x), np.int32)
+    where[by] = np.cumsum(new, dtype=np.int32) - 1
+    return by[starts], where, np.diff(np.append(starts, len(x)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,7 +65,7 @@ def is_prose(text: bytes) -> bool:
 class Grams:
     """The n-grams of some texts: distinct ones with slots of every order, and where each position's is among them."""
 
-    def __init__(self, texts: list[str], langs: list[str], order: int, bits: int):
+    def __init__(self, texts: list[bytes], langs: list[str], order: int, bits: int):
         pad = "\x00" * (order - 1)
         parts = [f"{pad}{normalize(t)}\x01" for t in texts]
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -69,7 +83,7 @@ class Grams:
         for k in range(order - 1):
             keep[starts + k] = False
         at = np.flatnonzero(keep)
-        _, first, self.where, self.counts = np.unique(top[at], return_index=True, return_inverse=True, return_counts=True)
+        first, self.where, self.counts = distinct(top[at])
         at = at[first]
         seed = seeds[np.searchsorted(ends, at, side="right")]
         self.order, self.bits = order, bits
@@ -102,8 +116,8 @@ def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for whole in batches:
-            for b in pieces_of(whole):
-                own = [(t.decode(), x or "und") for t, x in zip(text_bytes(b), b.column(1).to_pylist(), strict=True) if is_prose(t)]
+            for b in pieces_of(whole, 1_000_000):
+                own = [(t, x or "und") for t, x in zip(text_bytes(b), b.column(1).to_pylist(), strict=True) if is_prose(t)]
                 if not own:
                     continue
                 g = Grams(*map(list, zip(*own, strict=True)), order, bits)
@@ -233,9 +247,9 @@ def score_documents(docs: DataFrame, model: Model, order: int, bits: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for b in pieces_of(whole):
+            for b in pieces_of(whole, 1_000_000):
                 texts, langs = text_bytes(b), [x or "und" for x in b.column(2).to_pylist()]
-                g = Grams([t.decode() for t in texts], langs, order, bits)
+                g = Grams(texts, langs, order, bits)
                 lp = m.log10(g)[g.where]
                 at = np.concatenate([[0], np.cumsum(g.lengths)])[:-1]
                 base = list(zip(*base_rules(texts), strict=True))
