@@ -53,6 +53,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artifactlink.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artifactlink.llm.mixing import mix
 
@@ -72,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op8_mixing, op9_lm_scores, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_exact_dedup, op4_best_fit_packing, op5_token_counts, op6_license_scan, op7_toxicity, op8_mixing, op9_lm_scores, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,9 +34,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z lower-cased, and the number of words of each text."""
-    raw = b" ".join(texts).translate(ASCII_LOWER) + b" "
+def word_places(texts: list[bytes], table: bytes = ASCII_LOWER) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one buffer (bytes through `table`), and its words `[^\\x20\\x09-\\x0D]+`: starts, ends, hashes; words of each text."""
+    raw = b" ".join(texts).translate(table) + b" "
     a = np.frombuffer(raw, np.uint8)
     space = _SPACE[a]
     word = ~space
@@ -47,7 +47,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = mix((total[ends] - total[starts]) * powers(_P_INVERSE, len(a))[starts])
     upto = np.cumsum([len(t) + 1 for t in texts])
     at = np.searchsorted(starts, upto)
-    return h, np.diff(np.concatenate([[0], at]))
+    return raw, starts, ends, h, np.diff(np.concatenate([[0], at]))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, A-Z lower-cased, and the number of words of each text."""
+    _, _, _, h, counts = word_places(texts)
+    return h, counts
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
