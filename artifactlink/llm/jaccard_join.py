@@ -2,7 +2,9 @@
 
 A document is the set of its word shingles (64-bit hashes; equal sets are one set, known by a 64-bit key). Sets A, B
 link when 100 * |A & B| >= percent * |A | B|, so they share at least `need(A)` = ceil(percent * |A| / 100) tokens, and,
-under any one order of all tokens, one of the first |A| - need(A) + 1 tokens of A is among those of B.
+under any one order of all tokens, one of the first |A| - need(A) + 1 tokens of A is among those of B. More: all shared
+tokens up to the end of one set's first tokens are first tokens of both, so at most max(need(A), need(B)) - 1 others are
+shared, and the number of shared first tokens must make up for the rest of the overlap that the lengths ask for.
 
 1. Order: tokens found in `hot` sets or more come last, others first, each by hash. Counts are taken over all documents;
    hot tokens become bits of a bitmap of fixed size. A false bit changes the order, never the result.
@@ -11,8 +13,8 @@ under any one order of all tokens, one of the first |A| - need(A) + 1 tokens of
 3. Groups: every set is compared with one other, the first set of the lists it shares most often; verified links make
    groups of similar sets (connected components). Nothing inside a group needs a further comparison.
 4. Token-group matrix: groups are cut into parts of about `part` sets; each part has the union of its sets' tokens.
-   A set A is held against a part of another group when they share a first token and lengths allow it. It can link with
-   a member only if |A & union| >= need(A); only parts that meet this bound are opened.
+   A set A is held against a part of another group when lengths allow it and their first tokens overlap enough. It can
+   link with a member only if |A & union| >= need(A); only parts that meet this bound are opened.
 5. Sets of opened parts are compared with A, exactly. These links and those of step 3 have the same components as all
    links have: a link inside a group joins nothing new, and no link between groups fails a filter.
 """
@@ -252,27 +254,39 @@ def _lengths_allow(n: Column, low: Column, high: Column, percent: int) -> Column
     return (100 * high >= percent * n) & (100 * n >= percent * low)
 
 
+def _overlap_allows(seen: Column, n_a: Column, low: Column, high: Column, percent: int) -> Column:
+    """Whether `seen` shared first tokens are enough for sets of n_a and of low to high tokens to link."""
+    overlap = F.ceil(percent * (n_a + low) / (100 + percent))
+    return seen >= overlap - F.ceil(percent * F.greatest(n_a, high) / 100) + 1
+
+
 def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set with the first set of the lists that it shares most often."""
     centre = shared.groupBy("token").agg(F.min(F.struct("key", "n")).alias("m")).select("token", F.col("m.key").alias("b"), F.col("m.n").alias("m"))
     votes = shared.join(centre, "token").where((F.col("key") != F.col("b")) & _lengths_allow(F.col("n"), F.col("m"), F.col("m"), percent))
-    votes = votes.groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"))
+    votes = votes.groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"), F.max("m").alias("m"))
+    votes = votes.where(_overlap_allows(F.col("votes"), F.col("n"), F.col("m"), F.col("m"), percent))
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
 
 
-def open_parts(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, part: int) -> DataFrame:
-    """(a, b): candidates of different groups, from the parts that meet the bound of the token-group matrix."""
+def part_queries(shared: DataFrame, groups: DataFrame, percent: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, n, c, p) of the parts p of groups c, and queries (a, n_a, c, p): sets with parts of other groups."""
     rows = shared.join(groups.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     rows = materialize(rows.join(mixed, "token"), "between-groups")
-    members = rows.select("key", "n", "c").distinct()
     sizes = groups.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
-    members = members.join(sizes, "c", "left").withColumn("p", F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("members", F.lit(1)) / part)))
-    members = materialize(members.select("key", "n", "c", "p"), "parts")
+    members = rows.select("key", "n", "c").distinct().join(sizes, "c", "left")
+    members = materialize(members.select("key", "n", "c", F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("members", F.lit(1)) / part)).alias("p")), "parts")
     in_parts = rows.select("token", "key").join(members, "key").groupBy("token", "c", "p").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     queries = rows.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    tried = queries.join(in_parts, "token").where((F.col("c_a") < F.col("c")) & _lengths_allow(F.col("n_a"), F.col("low"), F.col("high"), percent))
-    tried = materialize(tried.select("a", "n_a", "c", "p").distinct(), "queries")
+    met = queries.join(in_parts, "token").where((F.col("c_a") < F.col("c")) & _lengths_allow(F.col("n_a"), F.col("low"), F.col("high"), percent))
+    met = met.groupBy("a", "n_a", "c", "p").agg(F.count(F.lit(1)).alias("seen"), F.min("low").alias("low"), F.max("high").alias("high"))
+    tried = met.where(_overlap_allows(F.col("seen"), F.col("n_a"), F.col("low"), F.col("high"), percent))
+    return members, materialize(tried.select("a", "n_a", "c", "p"), "queries")
+
+
+def open_parts(members: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidates of different groups, from the parts that meet the bound of the token-group matrix."""
 
     def union(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]]))
@@ -294,6 +308,16 @@ def open_parts(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     return pairs.where(_lengths_allow(F.col("n_a"), F.col("n"), F.col("n"), percent)).select("a", "b").distinct()
 
 
+def sets_of(docs: DataFrame, keys: DataFrame, size: int, bits: int) -> DataFrame:
+    """The token sets of (at least) the keys, written to the shared folder."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(Bitmap.fold(b.column(0).to_numpy().view(np.uint64), bits).astype(np.int64))], ["i"])
+
+    return materialize(token_sets(docs, size, Bitmap.collect(keys.mapInArrow(fold, "i long"), bits)), "sets")
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 4, percent: int = 85, hot: int = 8, part: int = 64, bitmap_bits: int = BITMAP_BITS, bucket_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -307,17 +331,14 @@ def jaccard_components(
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, min(20, int(np.ceil(np.log2(max(1, volume / 6 / bucket_tokens))))))
     shared = materialize(postings(rows, size, percent, bits, hot_tokens(rows, size, hot, bits, bitmap_bits)), "postings")
-    keys = shared.select("key").distinct()
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([pa.array(Bitmap.fold(b.column(0).to_numpy().view(np.uint64), bitmap_bits).astype(np.int64))], ["i"])
-
-    wanted = Bitmap.collect(keys.mapInArrow(fold, "i long"), bitmap_bits)
-    sets = materialize(token_sets(rows, size, wanted), "sets")
-    links = materialize(verify(star_pairs(shared, percent), sets, percent), "links")
+    stars = materialize(star_pairs(shared, percent), "stars")
+    sets = sets_of(rows, stars.select("a").union(stars.select("b")), size, bitmap_bits)
+    links = materialize(verify(stars, sets, percent), "links")
     groups = components(links)
-    more = materialize(verify(open_parts(shared, groups, sets, percent, part), sets, percent), "links")
+    members, tried = part_queries(shared, groups, percent, part)
+    asked = tried.select("a").union(members.join(tried.select("c", "p").distinct(), ["c", "p"]).select("key"))
+    sets = sets_of(rows, asked, size, bitmap_bits)
+    more = materialize(verify(open_parts(members, tried, sets, percent), sets, percent), "links")
     label = groups if more.isEmpty() else components(links.union(more))
     keyed = keyed_documents(rows, size).join(label.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     keyed = materialize(keyed.select("doc_id", "n", "c"), "keyed")
