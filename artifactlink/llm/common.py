@@ -59,9 +59,9 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in col.cast(pa.binary()).to_pylist()]
 
 
-def pieces_of(batch: pa.RecordBatch, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, max_bytes: int = 4_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `max_bytes` of text each, so that working memory doesn't follow the batch size."""
-    sizes = [0 if n is None else n for n in pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()]
+    sizes = [0 if n is None else n for n in pc.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist()]
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > max_bytes:

@@ -344,3 +344,12 @@ def jaccard_components(
     keyed = materialize(keyed.select("doc_id", "n", "c"), "keyed")
     least = keyed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return keyed.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_smallest(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, without those whose component has a smaller doc_id.
+
+    Rows go or stay by doc_id; rows without one, and rows that repeat one, all stay where their doc_id stays."""
+    found = jaccard_components(docs, size, percent, id_col=id_col, text_col=text_col, **options)
+    dropped = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    return docs.join(dropped, docs[id_col] == F.col("dropped_id"), "left_anti")

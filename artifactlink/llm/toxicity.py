@@ -280,13 +280,45 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_
     return [t for _, t, _ in order], np.array([int(k == 1) for *_, k in order], np.int64)
 
 
+def learned(docs: DataFrame, labels: DataFrame, window: int, hidden: int, dim: int, steps: int, sample_docs: int, sample_words: int, held_mod: int, held_rest: int) -> WordNetwork:
+    texts, known = training_texts(docs, labels.where(~heldout(F.col("doc_id"), held_mod, held_rest)), sample_docs, sample_words)
+    return train(texts, known, window, hidden, dim, steps)
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    window: int = 32,
+    hidden: int = 8,
+    dim: int = 16,
+    steps: int = 500,
+    sample_docs: int = 2500,
+    sample_words: int = 600,
+    held_mod: int = 5,
+    held_rest: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs`, all columns, that score below 0.5. It learns and scores as `toxicity`; rows don't move."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(learned(rows, labels, window, hidden, dim, steps, sample_docs, sample_words, held_mod, held_rest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for whole in batches:
+            for b in pieces_of(whole, 2_000_000, text_col):
+                yield b.filter(pa.array(net.score(text_bytes(b, text_col), window) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
     window: int = 32,
     hidden: int = 8,
     dim: int = 16,
-    steps: int = 600,
+    steps: int = 500,
     sample_docs: int = 2500,
     sample_words: int = 600,
     held_mod: int = 5,
@@ -302,9 +334,7 @@ def toxicity(
     play no part. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    learn = labels.where(~heldout(F.col("doc_id"), held_mod, held_rest))
-    texts, known = training_texts(rows, learn, sample_docs, sample_words)
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, known, window, hidden, dim, steps))
+    shared = docs.sparkSession.sparkContext.broadcast(learned(rows, labels, window, hidden, dim, steps, sample_docs, sample_words, held_mod, held_rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
