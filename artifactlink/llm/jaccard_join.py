@@ -35,7 +35,9 @@ from artifactlink.llm.components import components
 from artifactlink.llm.shingles import mix, shingle_sets
 
 BITMAP_BITS = 27
-_PIECE = 1_500_000
+_PIECE = 500_000
+#: Tokens, and first tokens, that a task holds before it hands them on.
+_HELD, _HELD_FIRST = 1_000_000, 400_000
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -109,7 +111,7 @@ def hot_tokens(docs: DataFrame, size: int, hot: int, bits: int, folded: int) ->
                     seen.add(key)
                     parts.append(s)
                     total += len(s)
-            if total > 4_000_000:
+            if total > _HELD:
                 yield out(parts)
                 parts, total = [], 0
         if parts:
@@ -164,7 +166,7 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
             if len(p[1]):
                 parts.append(p)
                 total += len(p[1])
-            if total > 2_000_000:
+            if total > _HELD_FIRST:
                 yield out(parts)
                 parts, total = [], 0
         if parts:
@@ -180,7 +182,7 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
         for p in first_tokens(batches, True):
             if len(p[1]):
                 parts.append(p)
-            if len(parts) >= 500:
+            if len(parts) >= 200:
                 yield out(parts)
                 parts = []
         if parts:
@@ -232,6 +234,12 @@ def token_sets(docs: DataFrame, size: int, wanted: Bitmap) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
+def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a binary column, without a copy."""
+    for x in column:
+        yield np.frombuffer(x.as_buffer(), np.uint64)
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
     a = sets.select(F.col("key").alias(left), F.col("tokens").alias("left_tokens"))
     b = sets.select(F.col("key").alias(right), F.col("tokens").alias("right_tokens"))
@@ -243,9 +251,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(cols[2], cols[3], strict=True)]
-            yield pa.record_batch([pa.array([v for v, k in zip(c, ok, strict=True) if k], pa.int64()) for c in cols[:2]], ["a", "b"])
+            ok = [linked(x, y, percent) for x, y in zip(_tokens(batch.column(2)), _tokens(batch.column(3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return _with_sets(pairs, sets, "a", "b").select("a", "b", "left_tokens", "right_tokens").mapInArrow(run, "a long, b long")
 
@@ -296,10 +303,8 @@ def open_parts(members: DataFrame, tried: DataFrame, sets: DataFrame, percent: i
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            keep = []
-            for n, x, y in zip(cols[1], cols[4], cols[5], strict=True):
-                keep.append(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) >= need(n, percent))
+            sizes = b.column(1).to_pylist()
+            keep = [len(np.intersect1d(x, y, assume_unique=True)) >= need(n, percent) for n, x, y in zip(sizes, _tokens(b.column(4)), _tokens(b.column(5)), strict=True)]
             yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     held = tried.join(sets.select(F.col("key").alias("a"), "tokens"), "a").join(matrix, ["c", "p"]).select("a", "n_a", "c", "p", "tokens", "union_tokens")
