@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.llm.common import materialize, pieces_of, text_bytes
+from artifactlink.llm.shingles import word_places
 
 _P = 0x9E3779B97F4A7C15
 _WS = b" \t\n\x0b\x0c\r"
@@ -68,23 +69,28 @@ class Grams:
     def __init__(self, texts: list[bytes], langs: list[str], order: int, bits: int):
         pad = "\x00" * (order - 1)
         parts = [f"{pad}{normalize(t)}\x01" for t in texts]
+        #: Characters plus one; the marks in front of a text are 1.
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.uint64)
+        codes += np.uint64(1)
         sizes = np.array([len(p) for p in parts], np.int64)
         ends = np.cumsum(sizes)
-        #: Characters that are scored: the text's and its end.
+        starts = ends - sizes
+        #: Characters that are scored: the text's and its end. `where` has order - 1 places in front of each text that count for nothing.
         self.lengths = sizes - (order - 1)
+        self.starts = starts + order - 1
         seeds = np.array([zlib.crc32(x.encode()) for x in langs], np.uint64) * np.uint64(_P | 1)
-        top = np.zeros(len(codes), np.uint64)
+        top, part = np.repeat(seeds, sizes), np.empty_like(codes)
         for k in range(order):
-            top[k:] += (codes[: len(codes) - k] + np.uint64(1)) * np.uint64(pow(_P, k + 1, 1 << 64))
-        top += np.repeat(seeds, sizes)
-        keep = np.ones(len(codes), bool)
-        starts = ends - sizes
-        for k in range(order - 1):
-            keep[starts + k] = False
-        at = np.flatnonzero(keep)
-        first, self.where, self.counts = distinct(top[at])
-        at = at[first]
+            n = len(codes) - k
+            np.multiply(codes[:n], np.uint64(pow(_P, k + 1, 1 << 64)), out=part[:n])
+            top[k:] += part[:n]
+        pads = (starts[:, None] + np.arange(order - 1)).ravel()
+        top[pads] = 0
+        first, self.where, self.counts = distinct(top)
+        if len(pads):  # the least value: the marks' own group
+            self.counts[0] = 0
+            first[0] = pads[-1] + 1 if not top[first[0]] else first[0]
+        at = first
         seed = seeds[np.searchsorted(ends, at, side="right")]
         self.order, self.bits = order, bits
         #: slots[k]: of the k-gram that ends at the position; before[k]: of the (k-1)-gram in front of it.
@@ -95,7 +101,7 @@ class Grams:
     def _slot(self, codes: np.ndarray, at: np.ndarray, k: int, seed: np.ndarray) -> np.ndarray:
         h = seed + np.uint64(k * 7919)
         for j in range(k):
-            h = h + (codes[at - j] + np.uint64(1)) * np.uint64(pow(_P, j + 1, 1 << 64))
+            h = h + codes[at - j] * np.uint64(pow(_P, j + 1, 1 << 64))
         return _mix(h) >> np.uint64(64 - self.bits)
 
 
@@ -110,8 +116,11 @@ def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
 
     def combine(parts: list[tuple]) -> tuple:
         key, val, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        return u, val[first], np.bincount(inverse, c, len(u)).astype(np.int64)
+        by = np.argsort(key)
+        key, val, c = key[by], val[by], c[by]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        # of n-grams that share a hash the largest value counts, in whatever order they come
+        return key[starts], np.maximum.reduceat(val, starts), np.add.reduceat(c, starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -123,7 +132,8 @@ def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
                 g = Grams(*map(list, zip(*own, strict=True)), order, bits)
                 for k in range(1, order + 1):
                     key, val = _keyed(g, k)
-                    parts.append(combine([(key, val, g.counts if k == order else np.zeros(len(key), np.int64))]))
+                    real = slice(1, None) if order > 1 else slice(None)  # the first is the marks'
+                    parts.append(combine([(key[real], val[real], g.counts[real] if k == order else np.zeros(len(key[real]), np.int64))]))
                 if sum(len(p[0]) for p in parts) > 3_000_000:
                     parts = [combine(parts)]
                     if len(parts[0][0]) > 2_000_000:
@@ -207,36 +217,38 @@ def repeated_words(words: list[bytes], n: int = 5) -> int:
     return total
 
 
-def may_repeat(texts: list[list[bytes]], n: int = 5) -> np.ndarray:
-    """Whether two windows of n words of a text have the same hash; if not, none repeats."""
-    sizes = np.array([len(w) for w in texts], np.int64)
-    total = int(sizes.sum())
-    out = np.zeros(len(texts), bool)
+def may_repeat(h: np.ndarray, counts: np.ndarray, n: int = 5) -> np.ndarray:
+    """Whether two windows of n words of a text have the same hash; if not, none repeats. h: hashes of all texts' words."""
+    total = len(h)
+    out = np.zeros(len(counts), bool)
     if total < n:
         return out
-    h = np.fromiter((hash(w) for t in texts for w in t), np.int64, total).astype(np.uint64)
     key = np.zeros(total - n + 1, np.uint64)
     for i in range(n):
         key += h[i : total - n + 1 + i] * np.uint64(pow(_P, i + 1, 1 << 64))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    inside = doc[: total - n + 1] == doc[n - 1 :]
-    own = doc[: total - n + 1][inside]
-    key = _mix(key[inside] + own.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    by = np.argsort(key)
-    same = key[by][1:] == key[by][:-1]
-    out[own[by[1:][same]]] = True
+    doc = np.repeat(np.arange(len(counts)), counts)
+    own = doc[: total - n + 1]
+    key = _mix(key + own.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[own == doc[n - 1 :]]
+    own = own[own == doc[n - 1 :]]
+    order = np.sort(key)
+    twice = order[1:][order[1:] == order[:-1]]
+    if len(twice):
+        out[own[np.isin(key, twice)]] = True
     return out
 
 
+_AS_IS = bytes(range(256))
+
+
 def base_rules(texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    words = [t.split() for t in texts]
-    repeat = may_repeat(words)
+    _, _, _, h, counts = word_places(texts, _AS_IS)
+    repeat = may_repeat(h, counts)
     out = []
-    for t, w, again in zip(texts, words, repeat.tolist(), strict=True):
+    for t, n, again in zip(texts, counts.tolist(), repeat.tolist(), strict=True):
         lines = [x for x in t.split(b"\n") if x.strip()]
         blank = len(t) - len(t.translate(None, _WS))
-        out.append((len(w), len(t.decode()) - blank, len(t) - len(t.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(w) if again else 0))
+        out.append((n, len(t.decode()) - blank, len(t) - len(t.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(t.split()) if again else 0))
     return out
 
 
@@ -251,9 +263,10 @@ def score_documents(docs: DataFrame, model: Model, order: int, bits: int) -> Dat
                 texts, langs = text_bytes(b), [x or "und" for x in b.column(2).to_pylist()]
                 g = Grams(texts, langs, order, bits)
                 lp = m.log10(g)[g.where]
-                at = np.concatenate([[0], np.cumsum(g.lengths)])[:-1]
+                # sums over each text, without the marks in front of the next one
+                at = np.stack([g.starts, g.starts + g.lengths], 1).ravel()[:-1]
                 base = list(zip(*base_rules(texts), strict=True))
-                cols = [b.column(0), pa.array(langs), *[pa.array(c, pa.int64()) for c in base], pa.array(g.lengths), pa.array(np.add.reduceat(lp, at)), pa.array(np.add.reduceat(lp * lp, at))]
+                cols = [b.column(0), pa.array(langs), *[pa.array(c, pa.int64()) for c in base], pa.array(g.lengths), pa.array(np.add.reduceat(lp, at)[::2]), pa.array(np.add.reduceat(lp * lp, at)[::2])]
                 yield pa.record_batch(cols, names)
 
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, log_p double, log_p2 double"
