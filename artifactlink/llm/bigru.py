@@ -6,6 +6,8 @@ Inputs come projected: x is (steps, batch, 3 * hidden) in the order z, r, n. Mas
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 
 
@@ -13,27 +15,35 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def run_gru(x: np.ndarray, mask: np.ndarray | None, w: np.ndarray) -> np.ndarray:
-    """States (steps, batch, hidden). mask: (steps, batch), 1 where the step counts; None if all do."""
-    steps, batch, three = x.shape
-    hidden = three // 3
-    h = np.zeros((batch, hidden), np.float32)
-    out = np.empty((steps, batch, hidden), np.float32)
-    for t in range(steps):
-        g = h @ w
-        zr = x[t, :, : 2 * hidden] + g[:, : 2 * hidden]
+def run_gru(x_at: Callable[[int], np.ndarray], order: Iterable[int], batch: int, mask: np.ndarray | None, w: np.ndarray) -> np.ndarray:
+    """States (steps, hidden, batch), for scoring: features come first, so that every gate is one run of memory.
+
+    x_at(t): the projected input of step t, (3 * hidden, batch), a new array; order: the steps, either way; mask:
+    (steps, batch), True where the step counts, or None if all do."""
+    hidden, wt = w.shape[0], np.ascontiguousarray(w.T)
+    order = list(order)
+    h = np.zeros((hidden, batch), np.float32)
+    out, g = np.empty((len(order), hidden, batch), np.float32), np.empty((3 * hidden, batch), np.float32)
+    for t in order:
+        x = x_at(t)
+        np.matmul(wt, h, out=g)
+        zr, n = x[: 2 * hidden], g[2 * hidden :]
+        zr += g[: 2 * hidden]
         zr *= 0.5
         np.tanh(zr, out=zr)
         zr += 1.0
         zr *= 0.5
-        n = g[:, 2 * hidden :]
-        n *= zr[:, hidden:]
-        n += x[t, :, 2 * hidden :]
+        n *= zr[hidden:]
+        n += x[2 * hidden :]
         np.tanh(n, out=n)
-        z = zr[:, :hidden]
+        z = zr[:hidden]
         if mask is not None:
-            z = np.where(mask[t][:, None] > 0, z, np.float32(1.0))
-        h = np.add(n, z * (h - n), out=out[t])
+            z[:, ~mask[t]] = 1.0
+        new = out[t]
+        np.subtract(h, n, out=new)
+        new *= z
+        new += n
+        h = new
     return out
 
 

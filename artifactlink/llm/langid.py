@@ -49,22 +49,26 @@ class ByteNetwork:
     def position_sums(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each window the sum of its bytes' language distributions."""
         p, steps = self.params, data.shape[1]
-        mask = None if (lengths == steps).all() else (np.arange(steps)[:, None] < lengths).astype(np.float32)
+        mask = None if (lengths == steps).all() else np.arange(steps)[:, None] < lengths
         cols = np.ascontiguousarray(data.T)
-        ahead = run_gru(p["in_f"][cols], mask, p["w_f"])
-        back = run_gru(p["in_b"][cols[::-1]], None if mask is None else mask[::-1], p["w_b"])[::-1]
-        total = np.zeros((len(data), len(self.langs)), np.float32)
+        table_f, table_b = np.ascontiguousarray(p["in_f"].T), np.ascontiguousarray(p["in_b"].T)
+        ahead = run_gru(lambda t: table_f.take(cols[t], axis=1), range(steps), len(data), mask, p["w_f"])
+        back = run_gru(lambda t: table_b.take(cols[t], axis=1), reversed(range(steps)), len(data), mask, p["w_b"])
+        out_f, out_b, bias = np.ascontiguousarray(p["out_f"].T), np.ascontiguousarray(p["out_b"].T), p["bias"][:, None]
+        total = np.zeros((len(self.langs), len(data)), np.float32)
         for t in range(steps):
-            s = ahead[t] @ p["out_f"] + back[t] @ p["out_b"] + p["bias"]
-            s -= s.max(1, keepdims=True)
+            s = out_f @ ahead[t]
+            s += out_b @ back[t]
+            s += bias
+            s -= s.max(0)
             np.exp(s, out=s)
-            s /= s.sum(1, keepdims=True)
+            s /= s.sum(0)
             if mask is not None:
-                s *= mask[t][:, None]
+                s *= mask[t]
             total += s
-        return total
+        return total.T
 
-    def probabilities(self, texts: list[bytes], window: int, block: int = 4096) -> np.ndarray:
+    def probabilities(self, texts: list[bytes], window: int, block: int = 2048) -> np.ndarray:
         data, lengths, owner = windows_of(texts, window)
         sums = np.zeros((len(texts), len(self.langs)))
         # full windows first: they need no mask

@@ -117,23 +117,28 @@ class WordNetwork:
     vocab: np.ndarray
     params: dict[str, np.ndarray]
 
-    def window_logits(self, rows: np.ndarray, x: dict[str, np.ndarray], pad: int, block: int = 4096) -> np.ndarray:
+    def window_logits(self, rows: np.ndarray, x: dict[str, np.ndarray], pad: int, block: int = 2048) -> np.ndarray:
         p = self.params
         out = np.empty(len(rows), np.float32)
         for lo in range(0, len(rows), block):
             cols = np.ascontiguousarray(rows[lo : lo + block].T)
-            mask = (cols != pad).astype(np.float32)
+            steps, batch = cols.shape
+            mask = cols != pad
             some = None if mask.all() else mask
-            h = np.concatenate([run_gru(x["f"][cols], some, p["w_f"]), run_gru(x["b"][cols[::-1]], None if some is None else some[::-1], p["w_b"])[::-1]], 2)
-            a = np.where(mask > 0, np.tanh(h @ p["att"]) @ p["att_v"], -1e9)
+            ahead = run_gru(lambda t, c=cols: x["f"].take(c[t], axis=1), range(steps), batch, some, p["w_f"])
+            back = run_gru(lambda t, c=cols: x["b"].take(c[t], axis=1), reversed(range(steps)), batch, some, p["w_b"])
+            h = np.concatenate([ahead, back], 1)
+            att, att_v = np.ascontiguousarray(p["att"].T), p["att_v"]
+            a = np.stack([att_v @ np.tanh(att @ h[t]) for t in range(steps)])
+            a = np.where(mask, a, np.float32(-1e9))
             a = np.exp(a - a.max(0))
             a /= a.sum(0)
-            out[lo : lo + block] = np.einsum("tb,tbh->bh", a, h) @ p["out"] + p["bias"][0]
+            out[lo : lo + block] = p["out"] @ np.einsum("tb,thb->hb", a, h) + p["bias"][0]
         return out
 
     def projected(self, words: Words) -> dict[str, np.ndarray]:
         v = words.vectors(self.params, words.rows_of(self.vocab), np.arange(words.n))
-        return {"f": v @ self.params["in_f"] + self.params["b_f"], "b": v @ self.params["in_b"] + self.params["b_b"]}
+        return {k: np.ascontiguousarray((v @ self.params[f"in_{k}"] + self.params[f"b_{k}"]).T) for k in "fb"}
 
     def score(self, texts: list[bytes], window: int) -> np.ndarray:
         """The highest window's probability; 0 for texts without words."""
