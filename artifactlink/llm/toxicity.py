@@ -6,7 +6,7 @@ word that no training text has still resemble it. Every
 overlapping window of `window` words (starts `window` / 2 apart, the whole text) goes through the network; attention pools
 its states to one score, and a document has the score of its highest window.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of labelled documents: about
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled documents: at most
 `sample_docs` of each label, chosen by a hash of doc_id: toxic ones whole, if they have at most `sample_words` words, and
 of each other one `sample_words` words in a row from a place given by the hash (any part of a clean text is clean). A
 toxic label belongs to its document's highest window, as the network sees it so far (multiple-instance learning); early
@@ -261,26 +261,27 @@ def cutoff(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_words: int) -> tuple[list[bytes], np.ndarray]:
-    """At most about 2 * sample_docs texts of at most sample_words words each, by a hash of doc_id."""
+    """At most 2 * sample_docs labelled documents' texts of at most sample_words words each, by a hash of doc_id."""
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
-    u = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.when(F.col("toxic") == 1, min(1.0, sample_docs / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample_docs / max(1, counts.get(0, 0))))
-    picked = own.where(u < rate)
-    got = docs.join(picked.withColumn("u", u), docs.doc_id == F.col("id")).select("doc_id", "text", "toxic", "u")
+    own = own.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40))
+    kinds = [own.where(F.col("toxic") == 1), own.where(F.col("toxic") != 1)]
+    # at most 2 * sample_docs rows reach the driver and go back to the tasks, so texts need not move to meet their labels
+    picked = {r.id: (r.toxic, r.u) for kind in kinds for r in kind.orderBy("u", "id").limit(sample_docs).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, t, toxic, v in zip(b.column(0).to_pylist(), text_bytes(b), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words = t.split()
+            own = [i for i, k in enumerate(b.column(0).to_pylist()) if k in picked]
+            few = b.take(pa.array(own, pa.int64()))
+            for i, t in zip(few.column(0).to_pylist(), text_bytes(few), strict=True):
+                (toxic, v), words = picked[i], t.split()
                 at = int((v * 2**20) % 1 * max(0, len(words) - sample_words)) if toxic != 1 else 0
                 if toxic != 1 or len(words) <= sample_words:
                     out.append((i, b" ".join(words[at : at + sample_words]), toxic))
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "text", "toxic"])
 
-    rows = got.mapInArrow(run, "doc_id long, text binary, toxic int").toArrow().to_pydict()
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary, toxic int").toArrow().to_pydict()
     order = sorted(zip(rows["doc_id"], rows["text"], rows["toxic"], strict=True))
     return [t for _, t, _ in order], np.array([int(k == 1) for *_, k in order], np.int64)
 
