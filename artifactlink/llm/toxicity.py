@@ -32,6 +32,8 @@ _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in
 #: Slots of character n-grams, and words with vectors of their own.
 SLOTS = 1 << 15
 VOCAB = 1 << 13
+#: Spread of first character vectors: small, so that n-grams that no training text has say nothing.
+CHAR_INIT = 0.03
 _GRAMS = (3, 4, 5)
 
 
@@ -211,7 +213,7 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim:
     words = Words(texts)
     vocab = vocabulary(words, VOCAB)
     p = {
-        "word": rng.normal(0, 0.1, (len(vocab) + 1, dim)), "char": rng.normal(0, 0.3, (SLOTS, dim)),
+        "word": rng.normal(0, 0.1, (len(vocab) + 1, dim)), "char": rng.normal(0, CHAR_INIT, (SLOTS, dim)),
         "in_f": rng.normal(0, 0.3, (dim, 3 * hidden)), "in_b": rng.normal(0, 0.3, (dim, 3 * hidden)), "b_f": np.zeros(3 * hidden), "b_b": np.zeros(3 * hidden),
         "w_f": recurrent_weights(rng, hidden), "w_b": recurrent_weights(rng, hidden),
         "att": rng.normal(0, 0.3, (2 * hidden, hidden)), "att_v": rng.normal(0, 0.3, hidden), "out": rng.normal(0, 0.3, 2 * hidden), "bias": np.array([-1.0]),
