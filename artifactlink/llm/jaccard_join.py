@@ -10,8 +10,10 @@ shared, and the number of shared first tokens must make up for the rest of the o
    hot tokens become bits of a bitmap of fixed size. A false bit changes the order, never the result.
 2. Postings: each set's first tokens. Those in several sets are kept. Tokens that aren't hot have short lists, which
    meet in numpy; lists of hot tokens are combined by Spark's map-side aggregation, so no task holds one.
-3. Groups: every set is compared with one other, the first set of the lists it shares most often; verified links make
-   groups of similar sets (connected components). Nothing inside a group needs a further comparison.
+   A set's `reach` is how many of its first tokens others have: two sets share at most the smaller reach, so a set most of
+   whose first tokens are its own meets few others, however common the rest of it is.
+3. Groups: every set is compared with one other, the set of most reach in the lists that it shares most often; verified
+   links make groups of similar sets (connected components). Nothing inside a group needs a further comparison.
 4. Token-group matrix: groups are cut into parts of about `part` sets; each part has the union of its sets' tokens.
    A set A is held against a part of another group when lengths allow it and their first tokens overlap enough. It can
    link with a member only if |A & union| >= need(A); only parts that meet this bound are opened.
@@ -134,7 +136,7 @@ _ENTRY = np.dtype([("id", "<u4"), ("n", "<u4"), ("key", "<i8")])
 
 
 def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -> DataFrame:
-    """(token, key, n): first tokens of sets, for tokens that are first ones of several sets, each set once."""
+    """(token, key, n, reach): first tokens of sets, for tokens that are first ones of several sets, each set once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def first_tokens(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -201,7 +203,10 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
     texts = docs.select("doc_id", "text")
     cold = texts.mapInArrow(cold_run, "bucket int, entries binary").groupBy("bucket").applyInPandas(meet, "token long, key long, n int")
     found = texts.mapInArrow(hot_run, "token long, key long, n int").groupBy("token", "key").agg(F.first("n").alias("n"))
-    return cold.unionByName(found)
+    both = materialize(cold.unionByName(found), "first-tokens")
+    several = both.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token")
+    both = materialize(both.join(several, "token"), "met-tokens")
+    return both.join(both.groupBy("key").agg(F.count(F.lit(1)).alias("reach")), "key").select("token", "key", "n", "reach")
 
 
 def keyed_documents(docs: DataFrame, size: int) -> DataFrame:
@@ -268,9 +273,11 @@ def _overlap_allows(seen: Column, n_a: Column, low: Column, high: Column, percen
 
 
 def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the first set of the lists that it shares most often."""
-    centre = shared.groupBy("token").agg(F.min(F.struct("key", "n")).alias("m")).select("token", F.col("m.key").alias("b"), F.col("m.n").alias("m"))
+    """(a, b): each set with the set of most reach (then smallest key) in the lists that it shares most often."""
+    centre = shared.groupBy("token").agg(F.max(F.struct("reach", F.bitwise_not("key").alias("key"), "n")).alias("m"))
+    centre = centre.select("token", F.bitwise_not("m.key").alias("b"), F.col("m.n").alias("m"), F.col("m.reach").alias("reach_b"))
     votes = shared.join(centre, "token").where((F.col("key") != F.col("b")) & _lengths_allow(F.col("n"), F.col("m"), F.col("m"), percent))
+    votes = votes.where(_overlap_allows(F.least("reach", "reach_b"), F.col("n"), F.col("m"), F.col("m"), percent))
     votes = votes.groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"), F.max("m").alias("m"))
     votes = votes.where(_overlap_allows(F.col("votes"), F.col("n"), F.col("m"), F.col("m"), percent))
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
@@ -284,9 +291,10 @@ def part_queries(shared: DataFrame, groups: DataFrame, percent: int, part: int)
     sizes = groups.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
     members = rows.select("key", "n", "c").distinct().join(sizes, "c", "left")
     members = materialize(members.select("key", "n", "c", F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("members", F.lit(1)) / part)).alias("p")), "parts")
-    in_parts = rows.select("token", "key").join(members, "key").groupBy("token", "c", "p").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = rows.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    in_parts = rows.select("token", "key", "reach").join(members, "key").groupBy("token", "c", "p").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
+    queries = rows.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("reach").alias("reach_a"))
     met = queries.join(in_parts, "token").where((F.col("c_a") < F.col("c")) & _lengths_allow(F.col("n_a"), F.col("low"), F.col("high"), percent))
+    met = met.where(_overlap_allows(F.least("reach_a", "reach"), F.col("n_a"), F.col("low"), F.col("high"), percent))
     met = met.groupBy("a", "n_a", "c", "p").agg(F.count(F.lit(1)).alias("seen"), F.min("low").alias("low"), F.max("high").alias("high"))
     tried = met.where(_overlap_allows(F.col("seen"), F.col("n_a"), F.col("low"), F.col("high"), percent))
     return members, materialize(tried.select("a", "n_a", "c", "p"), "queries")
