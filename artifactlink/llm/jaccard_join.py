@@ -10,8 +10,9 @@ shared, and the number of shared first tokens must make up for the rest of the o
    hot tokens become bits of a bitmap of fixed size. A false bit changes the order, never the result.
 2. Postings: each set's first tokens. Those in several sets are kept. Tokens that aren't hot have short lists, which
    meet in numpy; lists of hot tokens are combined by Spark's map-side aggregation, so no task holds one.
-   A set's `reach` is how many of its first tokens others have: two sets share at most the smaller reach, so a set most of
-   whose first tokens are its own meets few others, however common the rest of it is.
+   A set's `reach` is how many of its first tokens others have, a token's `after` how many of these stand at or after it,
+   rarest first. Sets that must share m first tokens share one whose `after` is at least m in both: the first of them. So
+   a set most of whose first tokens are its own meets few others, however common the rest of it is.
 3. Groups: every set is compared with one other, the set of most reach in the lists that it shares most often; verified
    links make groups of similar sets (connected components). Nothing inside a group needs a further comparison.
 4. Token-group matrix: groups are cut into parts of about `part` sets; each part has the union of its sets' tokens.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from artifactlink.llm.common import materialize, pieces_of, text_bytes
@@ -136,7 +137,7 @@ _ENTRY = np.dtype([("id", "<u4"), ("n", "<u4"), ("key", "<i8")])
 
 
 def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -> DataFrame:
-    """(token, key, n, reach): first tokens of sets, for tokens that are first ones of several sets, each set once."""
+    """(token, key, n, reach, after): first tokens of sets, for tokens that are first ones of several sets, each set once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def first_tokens(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -204,9 +205,12 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
     cold = texts.mapInArrow(cold_run, "bucket int, entries binary").groupBy("bucket").applyInPandas(meet, "token long, key long, n int")
     found = texts.mapInArrow(hot_run, "token long, key long, n int").groupBy("token", "key").agg(F.first("n").alias("n"))
     both = materialize(cold.unionByName(found), "first-tokens")
-    several = both.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token")
+    several = both.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     both = materialize(both.join(several, "token"), "met-tokens")
-    return both.join(both.groupBy("key").agg(F.count(F.lit(1)).alias("reach")), "key").select("token", "key", "n", "reach")
+    own = Window.partitionBy("key")
+    reach = F.count(F.lit(1)).over(own)
+    after = reach - F.row_number().over(own.orderBy("lists", "token")) + 1
+    return both.select("token", "key", "n", reach.alias("reach"), after.alias("after"))
 
 
 def keyed_documents(docs: DataFrame, size: int) -> DataFrame:
@@ -291,13 +295,11 @@ def part_queries(shared: DataFrame, groups: DataFrame, percent: int, part: int)
     sizes = groups.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
     members = rows.select("key", "n", "c").distinct().join(sizes, "c", "left")
     members = materialize(members.select("key", "n", "c", F.pmod(F.xxhash64("key"), F.ceil(F.coalesce("members", F.lit(1)) / part)).alias("p")), "parts")
-    in_parts = rows.select("token", "key", "reach").join(members, "key").groupBy("token", "c", "p").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
-    queries = rows.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("reach").alias("reach_a"))
+    in_parts = rows.select("token", "key", "after").join(members, "key").groupBy("token", "c", "p").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("after").alias("after"))
+    queries = rows.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("after").alias("after_a"))
     met = queries.join(in_parts, "token").where((F.col("c_a") < F.col("c")) & _lengths_allow(F.col("n_a"), F.col("low"), F.col("high"), percent))
-    met = met.where(_overlap_allows(F.least("reach_a", "reach"), F.col("n_a"), F.col("low"), F.col("high"), percent))
-    met = met.groupBy("a", "n_a", "c", "p").agg(F.count(F.lit(1)).alias("seen"), F.min("low").alias("low"), F.max("high").alias("high"))
-    tried = met.where(_overlap_allows(F.col("seen"), F.col("n_a"), F.col("low"), F.col("high"), percent))
-    return members, materialize(tried.select("a", "n_a", "c", "p"), "queries")
+    met = met.where(_overlap_allows(F.least("after_a", "after"), F.col("n_a"), F.col("low"), F.col("high"), percent))
+    return members, materialize(met.select("a", "n_a", "c", "p").distinct(), "queries")
 
 
 def open_parts(members: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
