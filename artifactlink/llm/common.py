@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,9 +37,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes of an Arrow batch between Spark and Python: what both sides hold at a time follows it.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Hold this session's Arrow batches to BATCH_BYTES, whatever their rows; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, str((1 << 31) - 1)).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
 
 
 def project(docs: DataFrame, **columns: str) -> DataFrame:
@@ -47,12 +53,6 @@ def project(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[docs[c].alias(name) for name, c in columns.items()])
 
 
-def map_batches(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(name))

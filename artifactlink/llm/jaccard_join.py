@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, pieces_of, text_bytes
+from artifactlink.llm.common import materialize, pieces_of, small_batches, text_bytes
 from artifactlink.llm.components import components
 from artifactlink.llm.shingles import mix, shingle_sets
 
@@ -343,6 +343,7 @@ def jaccard_components(
     a component are null. Other columns of the input play no part. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    small_batches(docs)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, min(20, int(np.ceil(np.log2(max(1, volume / 6 / bucket_tokens))))))
     shared = materialize(postings(rows, size, percent, bits, hot_tokens(rows, size, hot, bits, bitmap_bits)), "postings")

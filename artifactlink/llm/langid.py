@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.llm.bigru import Adam, gru_gradients, gru_with_cache, recurrent_weights, run_gru
-from artifactlink.llm.common import heldout, pieces_of, text_bytes
+from artifactlink.llm.common import heldout, pieces_of, small_batches, text_bytes
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 MAX_LANGS = 64
@@ -166,6 +166,7 @@ def language_id(
     input play no part. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    small_batches(docs)
     labelled = rows.where(~heldout(F.col("doc_id"), held_mod, held_rest) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs, data, lengths, labels = training_windows(labelled, sample_docs, doc_windows, window)
     shared = docs.sparkSession.sparkContext.broadcast(train(langs, data, lengths, labels, hidden, steps=steps) if len(labels) else None)

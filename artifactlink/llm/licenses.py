@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import ASCII_LOWER, project, text_bytes
+from artifactlink.llm.common import ASCII_LOWER, project, small_batches, text_bytes
 
 #: Fixed values of the base scan: phrase and label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -139,6 +139,7 @@ def license_scan(
     texts have no words, empty labels and score 0. Null doc_ids and rows that repeat are scanned as any other row. Other
     columns of the input play no part. An empty table gives no rows.
     """
+    small_batches(docs)
     rows = project(docs, doc_id=id_col, text=text_col)
     order = template_order(rows, templates)
     block = pa.list_(pa.struct([("line", pa.int64()), ("template", pa.int64()), ("containment", pa.float64())]))

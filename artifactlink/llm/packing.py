@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, project, row_base, text_bytes
+from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes
 from artifactlink.llm.token_counts import load_tokenizer
 
 #: Distinct pre-tokens, and stems, whose ids a worker process keeps.
@@ -211,6 +211,7 @@ def pack_best_two_fit(
     Every document ends with `end_id`, so a null or empty text is one piece of length 1. Rows that repeat and null
     doc_ids are packed as any other row. Other columns of the input play no part. An empty table gives no rows.
     """
+    small_batches(docs)
     pieces = materialize(tokenize_pieces(project(docs, doc_id=id_col, text=text_col), tokenizer_path, capacity, end_id), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
 

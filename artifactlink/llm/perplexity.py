@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, pieces_of, text_bytes
+from artifactlink.llm.common import materialize, pieces_of, small_batches, text_bytes
 from artifactlink.llm.shingles import word_places
 
 _P = 0x9E3779B97F4A7C15
@@ -290,6 +290,7 @@ def quality_rules(
     Other columns of the input play no part. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    small_batches(docs)
     model = train(rows, order, hash_bits)
     scored = score_documents(rows, model, order, hash_bits).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     scored = materialize(scored.withColumn("x", -F.col("log_p") / F.col("chars")), "perplexity")

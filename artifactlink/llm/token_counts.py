@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, project, row_base, text_bytes
+from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes
 from artifactlink.llm.wordjoin import HEAD, frequencies, head_of, split_words, word_counts
 
 
@@ -51,6 +51,7 @@ def token_counts(
     Null and empty texts have 0 bytes and tokens. A null doc_id and rows that repeat are counted as any other row. Other
     columns of the input play no part. An empty table gives no rows.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     rows = project(docs, doc_id=id_col, text=text_col)
     table = materialize(count_pieces(word_counts(rows), tokenizer_path), "pieces")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.llm.bigru import Adam, gru_gradients, gru_with_cache, recurrent_weights, run_gru, sigmoid
-from artifactlink.llm.common import ASCII_LOWER, heldout, pieces_of, text_bytes
+from artifactlink.llm.common import ASCII_LOWER, heldout, pieces_of, small_batches, text_bytes
 from artifactlink.llm.shingles import mix, word_places
 
 #: ASCII letters and digits, lower case, and all other bytes from 0x80; everything else ends a word.
@@ -309,6 +309,7 @@ def drop_toxic(
 ) -> DataFrame:
     """The rows of `docs`, all columns, that score below 0.5. It learns and scores as `toxicity`; rows don't move."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(learned(rows, labels, window, hidden, dim, steps, sample_docs, sample_words, held_mod, held_rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,6 +343,7 @@ def toxicity(
     play no part. An empty table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(learned(rows, labels, window, hidden, dim, steps, sample_docs, sample_words, held_mod, held_rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

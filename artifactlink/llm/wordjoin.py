@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import row_base, text_bytes
+from artifactlink.llm.common import text_bytes
 
 #: Words kept in memory by every task; a fixed bound of about 4 MB as sent.
 HEAD = 1 << 18
@@ -68,10 +68,3 @@ def frequencies(texts: list[bytes], words: Callable[[bytes], list[bytes]], head:
             else:
                 total += v * k
         yield i, total, n, rest, freq
-
-
-def tail_schema(extra: str) -> str:
-    return f"rid long, word binary, freq long, {extra}"
-
-
-__all__ = ["HEAD", "frequencies", "head_of", "row_base", "split_words", "tail_schema", "word_counts"]
