@@ -36,16 +36,18 @@ def normalize(text: bytes) -> str:
     return " ".join(text.translate(_PLAIN).decode().lower().split())
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A place of each distinct value, where each element is among them, and their counts."""
+def distinct(x: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """A place of each distinct value, where each element is among them (if asked for), and their counts."""
     by = np.argsort(x)
     y = x[by]
     new = np.empty(len(x), bool)
     new[:1] = True
     np.not_equal(y[1:], y[:-1], out=new[1:])
     starts = np.flatnonzero(new)
-    where = np.empty(len(x), np.int32)
-    where[by] = np.cumsum(new, dtype=np.int32) - 1
+    where = None
+    if places:
+        where = np.empty(len(x), np.int32)
+        where[by] = np.cumsum(new, dtype=np.int32) - 1
     return by[starts], where, np.diff(np.append(starts, len(x)))
 
 
@@ -66,7 +68,7 @@ def is_prose(text: bytes) -> bool:
 class Grams:
     """The n-grams of some texts: distinct ones with slots of every order, and where each position's is among them."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], order: int, bits: int):
+    def __init__(self, texts: list[bytes], langs: list[str], order: int, bits: int, places: bool = True):
         pad = "\x00" * (order - 1)
         parts = [f"{pad}{normalize(t)}\x01" for t in texts]
         #: Characters plus one; the marks in front of a text are 1.
@@ -86,7 +88,7 @@ class Grams:
             top[k:] += part[:n]
         pads = (starts[:, None] + np.arange(order - 1)).ravel()
         top[pads] = 0
-        first, self.where, self.counts = distinct(top)
+        first, self.where, self.counts = distinct(top, places)
         if len(pads):  # the least value: the marks' own group
             self.counts[0] = 0
             first[0] = pads[-1] + 1 if not top[first[0]] else first[0]
@@ -129,7 +131,7 @@ def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
                 own = [(t, x or "und") for t, x in zip(text_bytes(b), b.column(1).to_pylist(), strict=True) if is_prose(t)]
                 if not own:
                     continue
-                g = Grams(*map(list, zip(*own, strict=True)), order, bits)
+                g = Grams(*map(list, zip(*own, strict=True)), order, bits, places=False)
                 for k in range(1, order + 1):
                     key, val = _keyed(g, k)
                     real = slice(1, None) if order > 1 else slice(None)  # the first is the marks'
