@@ -34,8 +34,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text that are hashed at a time; working memory is some 40 times as much, or follows one longer text.
+BLOCK = 1 << 21
+
+
 def word_places(texts: list[bytes], table: bytes = ASCII_LOWER) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts as one buffer (bytes through `table`), and its words `[^\\x20\\x09-\\x0D]+`: starts, ends, hashes; words of each text."""
+    parts, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > BLOCK:
+            parts.append(_places(texts[lo:i], table))
+            lo, size = i, 0
+        size += len(t) + 1
+    parts.append(_places(texts[lo:], table))
+    if len(parts) == 1:
+        return parts[0]
+    base = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
+    moved = [np.concatenate([p[k] + at for p, at in zip(parts, base, strict=True)]) for k in (1, 2)]
+    return b"".join(p[0] for p in parts), *moved, np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+
+
+def _places(texts: list[bytes], table: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = b" ".join(texts).translate(table) + b" "
     a = np.frombuffer(raw, np.uint8)
     space = _SPACE[a]
