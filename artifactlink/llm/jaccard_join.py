@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, pieces_of, small_batches, text_bytes
+from artifactlink.llm.common import materialize, pieces_of, small_batches, text_bytes, tidy
 from artifactlink.llm.components import components
 from artifactlink.llm.shingles import mix, shingle_sets
 
@@ -129,7 +129,7 @@ def hot_tokens(docs: DataFrame, size: int, hot: int, bits: int, folded: int) ->
         often = ids[first][np.add.reduceat(n, first) >= hot].astype(np.uint64) | np.uint64(int(key[0]) << 32)
         return pd.DataFrame({"i": Bitmap.fold(often, folded).astype(np.int64)})
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "bucket int, ids binary, n binary")
+    counted = docs.select("doc_id", "text").mapInArrow(tidy(run), "bucket int, ids binary, n binary")
     return Bitmap.collect(counted.groupBy("bucket").applyInPandas(count, "i long"), folded)
 
 
@@ -202,8 +202,8 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
         return pd.DataFrame({"token": e["id"].astype(np.int64) | (int(key[0]) << 32), "key": e["key"], "n": e["n"].astype(np.int32)})
 
     texts = docs.select("doc_id", "text")
-    cold = texts.mapInArrow(cold_run, "bucket int, entries binary").groupBy("bucket").applyInPandas(meet, "token long, key long, n int")
-    found = texts.mapInArrow(hot_run, "token long, key long, n int").groupBy("token", "key").agg(F.first("n").alias("n"))
+    cold = texts.mapInArrow(tidy(cold_run), "bucket int, entries binary").groupBy("bucket").applyInPandas(meet, "token long, key long, n int")
+    found = texts.mapInArrow(tidy(hot_run), "token long, key long, n int").groupBy("token", "key").agg(F.first("n").alias("n"))
     both = materialize(cold.unionByName(found), "first-tokens")
     several = both.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     both = materialize(both.join(several, "token"), "met-tokens")
@@ -220,7 +220,7 @@ def keyed_documents(docs: DataFrame, size: int) -> DataFrame:
         for ids, sets in _sets(batches, size):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "key", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, key long, n long")
 
 
 def token_sets(docs: DataFrame, size: int, wanted: Bitmap) -> DataFrame:
@@ -240,7 +240,7 @@ def token_sets(docs: DataFrame, size: int, wanted: Bitmap) -> DataFrame:
             if own:
                 yield pa.record_batch([pa.array([k for k, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["key", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
@@ -263,7 +263,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [linked(x, y, percent) for x, y in zip(_tokens(batch.column(2)), _tokens(batch.column(3)), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return _with_sets(pairs, sets, "a", "b").select("a", "b", "left_tokens", "right_tokens").mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets, "a", "b").select("a", "b", "left_tokens", "right_tokens").mapInArrow(tidy(run), "a long, b long")
 
 
 def _lengths_allow(n: Column, low: Column, high: Column, percent: int) -> Column:
@@ -318,7 +318,7 @@ def open_parts(members: DataFrame, tried: DataFrame, sets: DataFrame, percent: i
             yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     held = tried.join(sets.select(F.col("key").alias("a"), "tokens"), "a").join(matrix, ["c", "p"]).select("a", "n_a", "c", "p", "tokens", "union_tokens")
-    opened = held.mapInArrow(bound, "a long, n_a int, c long, p long")
+    opened = held.mapInArrow(tidy(bound), "a long, n_a int, c long, p long")
     pairs = opened.join(members.select(F.col("key").alias("b"), "n", "c", "p"), ["c", "p"])
     return pairs.where(_lengths_allow(F.col("n_a"), F.col("n"), F.col("n"), percent)).select("a", "b").distinct()
 
@@ -330,7 +330,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, size: int, bits: int) -> DataFrame
         for b in batches:
             yield pa.record_batch([pa.array(Bitmap.fold(b.column(0).to_numpy().view(np.uint64), bits).astype(np.int64))], ["i"])
 
-    return materialize(token_sets(docs, size, Bitmap.collect(keys.mapInArrow(fold, "i long"), bits)), "sets")
+    return materialize(token_sets(docs, size, Bitmap.collect(keys.mapInArrow(tidy(fold), "i long"), bits)), "sets")
 
 
 def jaccard_components(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.llm.bigru import Adam, gru_gradients, gru_with_cache, recurrent_weights, run_gru
-from artifactlink.llm.common import heldout, pieces_of, small_batches, text_bytes
+from artifactlink.llm.common import heldout, pieces_of, small_batches, text_bytes, tidy
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 MAX_LANGS = 64
@@ -139,7 +139,7 @@ def training_windows(docs: DataFrame, sample_docs: int, doc_windows: int, window
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(wins, pa.binary()), pa.array(keys, pa.float64())], ["lang", "bytes", "u"])
 
     u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    got = docs.select("text", "lang", u).mapInArrow(run, "lang string, bytes binary, u double").toArrow().to_pydict()
+    got = docs.select("text", "lang", u).mapInArrow(tidy(run), "lang string, bytes binary, u double").toArrow().to_pydict()
     rows = sorted(zip(got["u"], got["lang"], got["bytes"], strict=True))
     at = {v: i for i, v in enumerate(langs)}
     raw = b"".join(r[2].ljust(window, b"\0") for r in rows)
@@ -185,5 +185,5 @@ def language_id(
                             pred[i], score[i] = model.langs[best[i]], min(1.0, float(p[i, best[i]]))
                 yield pa.record_batch([b.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    out = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = rows.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", heldout(F.col("doc_id"), held_mod, held_rest).alias("held_out"), "lang_pred", "score")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import ASCII_LOWER, project, small_batches, text_bytes
+from artifactlink.llm.common import ASCII_LOWER, project, small_batches, text_bytes, tidy
 
 #: Fixed values of the base scan: phrase and label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -95,7 +95,7 @@ def template_order(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[by
                     c.update(w for w in words if w in wanted)
         yield pa.record_batch([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.word): r.n for r in rows}
 
 
@@ -157,5 +157,5 @@ def license_scan(
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:long,template:long,containment:double>>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes
+from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes, tidy
 from artifactlink.llm.token_counts import load_tokenizer
 
 #: Distinct pre-tokens, and stems, whose ids a worker process keeps.
@@ -129,7 +129,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: in
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "rid"])
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rid long")
+    return docs.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, rid long")
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, pieces_of, small_batches, text_bytes
+from artifactlink.llm.common import materialize, pieces_of, small_batches, text_bytes, tidy
 from artifactlink.llm.shingles import word_places
 
 _P = 0x9E3779B97F4A7C15
@@ -144,7 +144,7 @@ def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
         if parts:
             yield pa.record_batch([pa.array(x) for x in combine(parts)], ["key", "val", "c"])
 
-    counted = docs.select("text", "lang").mapInArrow(run, "key long, val long, c long")
+    counted = docs.select("text", "lang").mapInArrow(tidy(run), "key long, val long, c long")
     return counted.groupBy("key").agg(F.max("val").alias("val"), F.sum("c").alias("c"))
 
 
@@ -272,7 +272,7 @@ def score_documents(docs: DataFrame, model: Model, order: int, bits: int) -> Dat
                 yield pa.record_batch(cols, names)
 
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, log_p double, log_p2 double"
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "lang").mapInArrow(tidy(run), schema)
 
 
 def quality_rules(

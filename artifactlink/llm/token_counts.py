@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes
+from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes, tidy
 from artifactlink.llm.wordjoin import HEAD, frequencies, head_of, split_words, word_counts
 
 
@@ -40,7 +40,7 @@ def count_pieces(words: DataFrame, tokenizer_path: str) -> DataFrame:
                 counts += [len(e.ids) for e in tok.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["word", "n", "pieces"])
 
-    return words.mapInArrow(run, "word binary, n long, pieces long")
+    return words.mapInArrow(tidy(run), "word binary, n long, pieces long")
 
 
 def token_counts(
@@ -76,7 +76,7 @@ def token_counts(
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.record_batch([pa.array(x, k) for x, k in zip((at, word, freq, doc, size, many, is_doc), kinds, strict=True)], names)
 
-    parts = rows.mapInArrow(run, "rid long, word binary, freq long, doc_id long, n_bytes long, n_pretokens long, is_doc boolean")
+    parts = rows.mapInArrow(tidy(run), "rid long, word binary, freq long, doc_id long, n_bytes long, n_pretokens long, is_doc boolean")
     joined = parts.join(table.select("word", "pieces"), "word", "left")
     tokens = F.when(F.col("is_doc"), F.col("freq")).otherwise(F.col("freq") * F.col("pieces"))
     return (

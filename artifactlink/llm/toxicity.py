@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.llm.bigru import Adam, gru_gradients, gru_with_cache, recurrent_weights, run_gru, sigmoid
-from artifactlink.llm.common import ASCII_LOWER, heldout, pieces_of, small_batches, text_bytes
+from artifactlink.llm.common import ASCII_LOWER, heldout, pieces_of, small_batches, text_bytes, tidy
 from artifactlink.llm.shingles import mix, word_places
 
 #: ASCII letters and digits, lower case, and all other bytes from 0x80; everything else ends a word.
@@ -283,7 +283,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "text", "toxic"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary, toxic int").toArrow().to_pydict()
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, text binary, toxic int").toArrow().to_pydict()
     order = sorted(zip(rows["doc_id"], rows["text"], rows["toxic"], strict=True))
     return [t for _, t, _ in order], np.array([int(k == 1) for *_, k in order], np.int64)
 
@@ -315,10 +315,10 @@ def drop_toxic(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for whole in batches:
-            for b in pieces_of(whole, 2_000_000, text_col):
+            for b in pieces_of(whole, 1_000_000, text_col):
                 yield b.filter(pa.array(net.score(text_bytes(b, text_col), window) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def toxicity(
@@ -349,8 +349,8 @@ def toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for whole in batches:
-            for b in pieces_of(whole, 2_000_000):
+            for b in pieces_of(whole, 1_000_000):
                 yield pa.record_batch([b.column(0), pa.array(net.score(text_bytes(b), window))], ["doc_id", "score"])
 
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    out = rows.mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", heldout(F.col("doc_id"), held_mod, held_rest).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

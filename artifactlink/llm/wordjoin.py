@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artifactlink.llm.common import text_bytes
+from artifactlink.llm.common import text_bytes, tidy
 
 #: Words kept in memory by every task; a fixed bound of about 4 MB as sent.
 HEAD = 1 << 18
@@ -43,7 +43,7 @@ def word_counts(docs: DataFrame, words: Callable[[bytes], list[bytes]] = split_w
         if c:
             yield out(c)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def head_of(values: DataFrame, value_cols: list[str], size: int = HEAD) -> dict[bytes, tuple]:
