@@ -128,3 +128,19 @@ def test_held_out_text_is_likelier_than_by_word_counts(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     r = neural_lm.lm_scores(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
     assert r.s > r.b
+
+
+def test_every_training_position_is_trained_on(spark):
+    texts = [f"w{i % 90} x{i % 7} w{i * 7 % 90} y" for i in range(400)]
+    docs = frame(spark, [*enumerate(texts)])
+    words = Counter(w for t in texts for w in neural_lm.lm_words(t.encode()))
+    ids = {w: i for i, (w, _) in enumerate(words.most_common())}
+    layout, tokens = neural_lm.layout_of(len(ids), 8), sum(words.values())
+    table = neural_lm.encode(docs, ids, layout.n, 6, [1, 1, 2, 2]).collect()
+    assert sorted(r.ids for r in table) == sorted(np.array([ids[w] for w in neural_lm.lm_words(t.encode())], np.int32).tobytes() for t in texts)
+    assert all(r["round"] == [0, 1, 2, 2, 3, 3][r.shard] for r in table)
+    share, tail = np.full(layout.classes, 1 / layout.classes), np.zeros(layout.n - layout.head)
+    model = neural_lm.train_rounds(docs, ids, layout, share, tail, tokens, 1, 4, shard_size=tokens // 6 + 1)
+    start, _ = neural_lm.start_net(layout.n + 2, share, tail, 4, 7)
+    moved = (model.net["r"] != start["r"]).any(1)
+    assert moved[[i for w, i in ids.items() if w != neural_lm.END]].all() and moved[layout.n + 1]
