@@ -144,3 +144,18 @@ def test_every_training_position_is_trained_on(spark):
     start, _ = neural_lm.start_net(layout.n + 2, share, tail, 4, 7)
     moved = (model.net["r"] != start["r"]).any(1)
     assert moved[[i for w, i in ids.items() if w != neural_lm.END]].all() and moved[layout.n + 1]
+
+
+def test_words_outside_the_head_follow_their_context(spark):
+    texts = [f"key{i} val{i}" for i in range(40) for _ in range(30)]
+    ask = [f"key{i} val{i + k}" for i in range(39) for k in (0, 1)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    at = [i for i in range(20_000) if held(i)][: len(ask)]
+    free = [i for i in range(20_000) if not held(i)][: len(texts)]
+    got = {r.doc_id: r for r in neural_lm.lm_scores(frame(spark, [*zip(free, texts), *zip(at, ask)]), vocab=5).collect()}
+    better = [got[a].score - got[b].score for a, b in zip(at[::2], at[1::2])]
+    assert np.mean(better) > 0.5 and np.mean([x > 0 for x in better]) > 0.9
+    lay = neural_lm.Layout(9, 3, 2)
+    net, _ = neural_lm.start_net(11, np.full(lay.classes, 1 / lay.classes), np.zeros(6), 4, 1)
+    total = sum(np.exp(neural_lm.Factored(lay, net).log_probs(np.full(11, w), np.arange(11), np.arange(11))) for w in range(10))
+    assert np.allclose(total, 1, atol=1e-4)
