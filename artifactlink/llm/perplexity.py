@@ -3,9 +3,10 @@
 The model is a modified Kneser-Ney n-gram model over the characters of whole texts (lower case, white space as one
 space, digits as 0), one for each language. It learns from every document that is prose by rule (`is_prose`: few symbols
 and few repeated lines), so that junk is measured against prose and not against other junk. Spark counts the n-grams of
-all these documents, continuation counts, discounts and back-off weights; the driver gets, for each order, arrays of at most 2**hash_bits entries sorted by n-gram hash, and
-tasks look n-grams up in them by binary search. An n-gram is known by its hash only, so the arrays have a proven bound
-at any input size (two that share a hash share their counts).
+all these documents, continuation counts, discounts and back-off weights; the driver gets, for each order, arrays of all
+n-grams sorted by hash, and tasks look n-grams up in them by the leading bits. An n-gram is known by its hash only, of
+60 bits: of ten million n-grams, two share one with a probability of about 1 in 20,000. The arrays follow the corpus's
+distinct character n-grams, which grow much slower than its text.
 
 A document's log perplexity is held against its language's band, centre -/+ width * sqrt(spread**2 + v / characters):
 centre and spread are the median and the scaled quartile range of all documents of that language that pass the base
@@ -107,22 +108,22 @@ class Grams:
         return _mix(h) >> np.uint64(64 - self.bits)
 
 
-def _keyed(g: Grams, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key (order, slot) and value (slot of the n-gram without its first character, slot of its context)."""
+def _keyed(g: Grams, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key (order, slot), slot of the n-gram without its first character, and slot of its context."""
     suffix = g.slots[k - 1] if k > 1 else np.zeros_like(g.slots[1])
-    return (np.uint64(k << g.bits) | g.slots[k]).astype(np.int64), ((suffix << np.uint64(g.bits)) | g.before[k]).astype(np.int64)
+    return (np.uint64(k << g.bits) | g.slots[k]).astype(np.int64), suffix.astype(np.int64), g.before[k].astype(np.int64)
 
 
 def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """(key, val, c): texts' n-grams of every order; c counts the highest order only. Tasks combine before the shuffle."""
+    """(key, suffix, ctx, c): texts' n-grams of every order; c counts the highest order only. Tasks combine before the shuffle."""
 
     def combine(parts: list[tuple]) -> tuple:
-        key, val, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, suffix, ctx, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         by = np.argsort(key)
-        key, val, c = key[by], val[by], c[by]
+        key, suffix, ctx, c = key[by], suffix[by], ctx[by], c[by]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        # of n-grams that share a hash the largest value counts, in whatever order they come
-        return key[starts], np.maximum.reduceat(val, starts), np.add.reduceat(c, starts)
+        # of n-grams that share a hash the largest values count, in whatever order they come
+        return key[starts], np.maximum.reduceat(suffix, starts), np.maximum.reduceat(ctx, starts), np.add.reduceat(c, starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -133,48 +134,67 @@ def count_ngrams(docs: DataFrame, order: int, bits: int) -> DataFrame:
                     continue
                 g = Grams(*map(list, zip(*own, strict=True)), order, bits, places=False)
                 for k in range(1, order + 1):
-                    key, val = _keyed(g, k)
+                    key, suffix, ctx = _keyed(g, k)
                     real = slice(1, None) if order > 1 else slice(None)  # the first is the marks'
-                    parts.append(combine([(key[real], val[real], g.counts[real] if k == order else np.zeros(len(key[real]), np.int64))]))
+                    parts.append(combine([(key[real], suffix[real], ctx[real], g.counts[real] if k == order else np.zeros(len(key[real]), np.int64))]))
                 if sum(len(p[0]) for p in parts) > 3_000_000:
                     parts = [combine(parts)]
                     if len(parts[0][0]) > 2_000_000:
-                        yield pa.record_batch([pa.array(x) for x in parts[0]], ["key", "val", "c"])
+                        yield pa.record_batch([pa.array(x) for x in parts[0]], ["key", "suffix", "ctx", "c"])
                         parts = []
         if parts:
-            yield pa.record_batch([pa.array(x) for x in combine(parts)], ["key", "val", "c"])
+            yield pa.record_batch([pa.array(x) for x in combine(parts)], ["key", "suffix", "ctx", "c"])
 
-    counted = docs.select("text", "lang").mapInArrow(tidy(run), "key long, val long, c long")
-    return counted.groupBy("key").agg(F.max("val").alias("val"), F.sum("c").alias("c"))
+    assert bits + order.bit_length() < 64  # a key holds both
+    counted = docs.select("text", "lang").mapInArrow(tidy(run), "key long, suffix long, ctx long, c long")
+    return counted.groupBy("key").agg(F.max("suffix").alias("suffix"), F.max("ctx").alias("ctx"), F.sum("c").alias("c"))
 
 
 class Model:
     """For each order: sorted n-gram slots with discounted probabilities, sorted context slots with back-off weights."""
 
-    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray]], alphabet: int):
-        self.grams, self.contexts, self.alphabet = grams, contexts, alphabet
+    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray]], alphabet: int, bits: int):
+        self.alphabet = alphabet
+        self.grams, self.contexts = ({k: self._indexed(*t, bits) for k, t in x.items()} for x in (grams, contexts))
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
-        known, values = table
+    def _indexed(known: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Where the slots of each value of their leading bits start: about one slot to a value, as slots are even."""
+        shift = max(0, bits - max(1, len(known)).bit_length())
+        ends = np.bincount(known >> shift, minlength=1 << (bits - shift)) if len(known) else np.zeros(1 << (bits - shift), np.int64)
+        return known, values, np.concatenate([[0], np.cumsum(ends)]).astype(np.int32), shift
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray, np.ndarray, int], keys: np.ndarray, missing: float) -> np.ndarray:
+        known, values, starts, shift = table
+        out = np.full(len(keys), missing)
         if not len(known):
-            return np.full(len(keys), missing)
-        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[i] == keys, values[i], missing)
+            return out
+        lead = keys >> shift
+        at, end = starts[lead], starts[lead + 1]
+        todo = np.flatnonzero(at < end)
+        at, end, keys = at[todo], end[todo], keys[todo]
+        while len(todo):
+            hit = known[at] == keys
+            out[todo[hit]] = values[at[hit]]
+            at = at + 1
+            more = np.flatnonzero(~hit & (at < end))
+            todo, at, end, keys = todo[more], at[more], end[more], keys[more]
+        return out
 
     def log10(self, g: Grams) -> np.ndarray:
         """log10 probability of each distinct n-gram's last character after the others."""
         p = np.full(len(g.slots[1]), 1.0 / (self.alphabet + 1))
         for k in range(1, g.order + 1):
-            p = self._find(self.grams[k], g.slots[k].astype(np.int32), 0.0) + self._find(self.contexts[k], g.before[k].astype(np.int32), 1.0) * p
+            p = self._find(self.grams[k], g.slots[k].astype(np.int64), 0.0) + self._find(self.contexts[k], g.before[k].astype(np.int64), 1.0) * p
         return np.log10(p)
 
 
 def train(docs: DataFrame, order: int, bits: int) -> Model:
     counted = materialize(count_ngrams(docs, order, bits), "ngrams")
-    size, mask = 1 << bits, (1 << bits) - 1
+    mask = (1 << bits) - 1
     t = counted.select(
-        F.shiftright("key", bits).alias("k"), F.col("key").bitwiseAND(mask).alias("slot"), F.col("val").bitwiseAND(mask).alias("ctx"), F.shiftright("val", bits).alias("suffix"), "c",
+        F.shiftright("key", bits).alias("k"), F.col("key").bitwiseAND(mask).alias("slot"), "ctx", "suffix", "c",
     )
     left = t.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("slot")).agg(F.count(F.lit(1)).alias("left"))
     t = materialize(t.join(left, ["k", "slot"], "left").select("k", "slot", "ctx", F.when(F.col("k") == order, F.col("c")).otherwise(F.coalesce("left", F.lit(1))).alias("c")), "ngram-counts")
@@ -187,8 +207,8 @@ def train(docs: DataFrame, order: int, bits: int) -> Model:
         discount = F.when(F.col("k") == k, at).otherwise(discount)
     t = t.withColumn("d", discount)
     per = t.groupBy("k", "ctx").agg(F.sum("c").alias("all"), F.sum("d").alias("d_all"))
-    alpha = t.join(per, ["k", "ctx"]).select("k", F.col("slot").cast("int").alias("slot"), ((F.col("c") - F.col("d")) / F.col("all")).cast("float").alias("v"))
-    weight = per.select("k", F.col("ctx").cast("int").alias("slot"), (F.col("d_all") / F.col("all")).cast("float").alias("v"))
+    alpha = t.join(per, ["k", "ctx"]).select("k", "slot", ((F.col("c") - F.col("d")) / F.col("all")).cast("float").alias("v"))
+    weight = per.select("k", F.col("ctx").alias("slot"), (F.col("d_all") / F.col("all")).cast("float").alias("v"))
 
     def arrays(df: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         x = df.toArrow()
@@ -197,12 +217,11 @@ def train(docs: DataFrame, order: int, bits: int) -> Model:
         for i in range(1, order + 1):
             own = np.flatnonzero(k == i)
             own = own[np.argsort(slot[own], kind="stable")]
-            out[i] = (slot[own].astype(np.int32), v[own].astype(np.float32))
-            assert len(own) <= size
+            out[i] = (slot[own].astype(np.int64), v[own].astype(np.float32))
         return out
 
     grams = arrays(alpha)
-    return Model(grams, arrays(weight), len(grams[1][0]))
+    return Model(grams, arrays(weight), len(grams[1][0]), bits)
 
 
 def repeated_words(words: list[bytes], n: int = 5) -> int:
@@ -278,7 +297,7 @@ def score_documents(docs: DataFrame, model: Model, order: int, bits: int) -> Dat
 def quality_rules(
     docs: DataFrame,
     order: int = 5,
-    hash_bits: int = 21,
+    hash_bits: int = 60,
     width: float = 6.0,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -94,3 +94,19 @@ def test_junk_is_rejected_and_prose_kept(spark, sf_dir):
     good = [out[i].kept for i, q in quality.items() if q == 1 and not out[i].base_failed]
     bad = [out[i].kept for i, q in quality.items() if q == 0]
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
+
+
+def test_unseen_ngrams_are_not_taken_for_seen(spark, sf_dir):
+    import inspect
+
+    bits = inspect.signature(Q.quality_rules).parameters["hash_bits"].default
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where("lang = 'en'").limit(60)
+    rows = [(r.text.encode(), r.lang) for r in docs.collect() if r.text and Q.is_prose(r.text.encode())]
+    rng = np.random.default_rng(4)
+    junk = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 4000))) for _ in range(5)]
+    known, other = Q.Grams(*map(list, zip(*rows)), 5, bits), Q.Grams([t.encode() for t in junk], ["en"] * 5, 5, bits)
+    assert len(rows) > 20 and not np.isin(other.slots[5], known.slots[5]).any()
+    s = {Q.normalize(t)[i : i + 5] for t, _ in rows for i in range(len(Q.normalize(t)) - 4)}
+    assert len(np.unique(known.slots[5])) >= len(s)
+    model = Q.train(docs, 5, bits)
+    assert max(v.max() for v in (model.grams[5][0], model.contexts[5][0])) > 1 << 32
