@@ -80,7 +80,7 @@ def _resolved_at(sites: DataFrame, order: DataFrame, members: DataFrame, same: C
 
 
 def audit(
-    sites: DataFrame, def_classes: DataFrame, def_methods: DataFrame, def_fields: DataFrame, ignore=PLATFORM_PREFIXES, include=(), mapping: DataFrame | None = None, depth: int = 100
+    sites: DataFrame, def_classes: DataFrame, def_methods: DataFrame, def_fields: DataFrame, ignore=PLATFORM_PREFIXES, include=(), mapping: DataFrame | None = None
 ) -> DataFrame:
     """Each counted site with `outcome` (excluded, resolved, unresolved), reason, candidates and where it was found.
 
@@ -96,7 +96,7 @@ def audit(
     methods = methods.withColumn("hierarchy", (F.col("dispatch") == "virtual") & (F.col("name") != "<init>"))
     fields = fields.withColumn("hierarchy", F.col("dispatch") == "instance")
     starts = methods.select(F.col("owner").alias("node")).union(fields.select(F.col("owner").alias("node"))).distinct()
-    order = ancestors(hierarchy(classes), starts, depth)
+    order = ancestors(hierarchy(classes), starts)
     m = _resolved_at(methods, order, first_wins(def_methods, ["owner", "name", "params", "ret", "is_static", "is_direct"]), (F.col("params") == F.col("m_params")) & (F.col("ret") == F.col("m_ret")), "method")
     f = _resolved_at(fields, order, first_wins(def_fields, ["owner", "name", "type", "is_static"]), F.col("ret") == F.col("m_type"), "field")
     x = s.join(m.unionByName(f), "site_id", "left")
