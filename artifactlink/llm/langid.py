@@ -21,7 +21,6 @@ from artifactlink.llm.bigru import Adam, gru_gradients, gru_with_cache, recurren
 from artifactlink.llm.common import heldout, pieces_of, small_batches, text_bytes, tidy
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-MAX_LANGS = 64
 
 
 def has_letter(text: bytes) -> bool:
@@ -118,8 +117,8 @@ def train(langs: list[str], data: np.ndarray, lengths: np.ndarray, labels: np.nd
 
 
 def training_windows(docs: DataFrame, sample_docs: int, doc_windows: int, window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages (the MAX_LANGS most frequent), and the sample's windows, lengths and labels."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    """Languages (all of them), and the sample's windows, lengths and labels."""
+    counts = docs.groupBy("lang").count().collect()
     langs = sorted(r.lang for r in counts)
     rate = {r.lang: min(1.0, sample_docs / r["count"]) for r in counts}
 

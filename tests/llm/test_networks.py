@@ -159,3 +159,9 @@ def test_words_outside_the_head_follow_their_context(spark):
     net, _ = neural_lm.start_net(11, np.full(lay.classes, 1 / lay.classes), np.zeros(6), 4, 1)
     total = sum(np.exp(neural_lm.Factored(lay, net).log_probs(np.full(11, w), np.arange(11), np.arange(11))) for w in range(10))
     assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rows = frame(spark, [(i, f"text number {i}", f"l{i % 70:02}", "s") for i in range(140)]).select("doc_id", "text", "lang")
+    langs, _, _, labels = langid.training_windows(rows, 1500, 4, 64)
+    assert langs == [f"l{i:02}" for i in range(70)] and set(labels.tolist()) == set(range(70))
