@@ -20,18 +20,16 @@ def license_scan(threshold_percent: int = 80) -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words.format("coalesce(text, '')")} AS w FROM documents),
 phrases(phrase, label, pw) AS (VALUES {phrases}),
-templates AS (SELECT label, list_distinct({words.format("body")}) AS tw FROM (VALUES {templates}) v(body, label)),
+templates AS (SELECT row_number() OVER () AS k, label, list_distinct({words.format("body")}) AS tw, len({words.format("body")}) * 5 // 4 AS size FROM (VALUES {templates}) v(body, label)),
 base AS (
   SELECT doc_id, label, i - 1 AS pos
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')) x, phrases
   WHERE w[i : i + len(pw) - 1] = pw
 ),
 base_docs AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct({words.format("line")}) AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-blocks AS (
-  SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS share
-  FROM lines, templates WHERE len(lw) > 0 AND 100 * len(list_intersect(lw, tw)) >= {threshold_percent} * len(tw)
-),
+may AS (SELECT doc_id, w, label, tw, size FROM (SELECT doc_id, w, list_distinct(w) AS dw FROM d WHERE len(w) > 0), templates WHERE 100 * len(list_intersect(dw, tw)) >= {threshold_percent} * len(tw)),
+runs AS (SELECT doc_id, label, len(list_intersect(list_distinct(w[i : i + size - 1]), tw)) AS n, len(tw) AS m FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM may)),
+blocks AS (SELECT doc_id, label, n / m::DOUBLE AS share FROM runs WHERE 100 * n >= {threshold_percent} * m),
 block_docs AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM blocks GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

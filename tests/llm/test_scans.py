@@ -23,12 +23,12 @@ def brute_scan(t, threshold=Fraction(8, 10)):
                 starts.append(i)
                 base.add(label)
     shares, labels = [], set(base)
-    for line in (t or "").split("\n"):
-        block = set(words(line))
-        for text, label in L.TEMPLATES:
-            own = set(words(text))
-            if block and len(own & block) >= threshold * len(own):
-                shares.append(len(own & block) / len(own))
+    for text, label in L.TEMPLATES:
+        own, size = set(words(text)), len(words(text)) * 5 // 4
+        for i in range(len(w)) if len(own & set(w)) >= threshold * len(own) else ():
+            n = len(own & set(w[i : i + size]))
+            if n >= threshold * len(own):
+                shares.append(n / len(own))
                 labels.add(label)
     return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if starts else max(shares, default=0.0)
 
@@ -36,7 +36,7 @@ def brute_scan(t, threshold=Fraction(8, 10)):
 def test_license_scan(spark):
     extra = [
         "Released under the MIT License.", "mit, (license) MIT\nLICENSE", "This work is licensed under the GNU General\npublic license, version 3.", "Licensed under CC BY-NC 4.0.",
-        "summit license", "permission is hereby granted free of charge to any person obtaining a copy of software", "LICENSED under the apache license", "general public license general public license",
+        "Licensed under the\nMozilla, Public\nLicense", "licensed " + "x " * 30 + "under the mozilla public license version 2.0", "a " * 50 + "released\nunder the\r\nISC\n\nlicense " * 3, "summit license", "permission is hereby granted free of charge to any person obtaining a copy of software", "LICENSED under the apache license", "general public license general public license",
     ]
     rows = [*enumerate([*odd_texts(9), *extra]), (None, "MIT license"), (4, "again"), (4, "again")]
     got = sorted([tuple(r)[:8] for r in L.license_scan(frame(spark, rows)).collect()], key=str)
@@ -44,6 +44,28 @@ def test_license_scan(spark):
     assert any(r[6] for r in got) and L.license_scan(frame(spark, [])).count() == 0
 
 
+def test_statements_over_line_ends(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met"
+    grant = "Permission is hereby granted,\n free of charge, to any person obtaining\n a copy of this software"
+    got = {r.doc_id: r for r in L.license_scan(frame(spark, [(1, "\n".join(["x"] * 9) + bsd), (2, grant), (3, "clean text on a license")])).collect()}
+    assert got[1].labels == "bsd" and got[2].labels == "mit" and got[3].labels == "" and got[3].score == 0
+    b = min(got[1].blocks, key=lambda b: b.first_word)
+    assert words("\n".join(["x"] * 9) + bsd)[b.first_word] in words(bsd)
+
+
+def test_long_text_takes_time_by_its_words():
+    import time
+
+    index, phrases = L.Index(L.TEMPLATES, {}, 0.8), [(p.encode().split(), label) for p, label in L.PHRASES.items()]
+    times = []
+    for n in (100_000, 400_000):
+        start = time.thread_time()
+        got = L.scan_text(b"the mit license " * n, index, phrases)
+        times.append(time.thread_time() - start)
+        assert got[:4] == (3 * n, n, 1, 3 * n - 2)
+    assert times[1] < 12 * times[0]
+
+
 def test_license_table(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     got = {r.doc_id: tuple(r)[1:8] for r in L.license_scan(docs).collect()}
