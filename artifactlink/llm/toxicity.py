@@ -7,10 +7,11 @@ overlapping window of `window` words (starts `window` / 2 apart, the whole text)
 its states to one score, and a document has the score of its highest window.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled documents: at most
-`sample_docs` of each label, chosen by a hash of doc_id: toxic ones whole, if they have at most `sample_words` words, and
-of each other one `sample_words` words in a row from a place given by the hash (any part of a clean text is clean). A
-toxic label belongs to its document's highest window, as the network sees it so far (multiple-instance learning); early
-on, to all windows.
+`sample_docs` of each label, chosen by a hash of doc_id, and of each at most `sample_words` words in a row. Of a clean one
+they stand at a place given by the hash, as any part of a clean text is clean. Of a longer toxic one they are the part
+that matters: a first network, trained without these documents, scores all of their text where it lies, in overlapping
+stretches, and the training goes on with the highest stretch of each. A toxic label belongs to its document's highest
+window, as the network sees it so far (multiple-instance learning); early on, to all windows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ VOCAB = 1 << 13
 #: Spread of first character vectors: small, so that n-grams that no training text has say nothing.
 CHAR_INIT = 0.03
 _GRAMS = (3, 4, 5)
+#: Bytes of text that are scored at a time; working memory is some hundred times as much, or follows one longer text.
+PIECE = 500_000
 
 
 class Words:
@@ -208,11 +211,12 @@ def vocabulary(words: Words, size: int) -> np.ndarray:
     return np.sort(words.hash[best[texts[best] >= max(3, len(words.counts) // 200)]])
 
 
-def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim: int, steps: int, batch: int = 192, rate: float = 0.01, seed: int = 11) -> WordNetwork:
+def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim: int, steps: int, batch: int = 192, rate: float = 0.01, seed: int = 11, start: WordNetwork | None = None) -> WordNetwork:
+    """The network after `steps` batches; it goes on from `start`, and its vocabulary, if there is one."""
     rng = np.random.default_rng(seed)
     words = Words(texts)
-    vocab = vocabulary(words, VOCAB)
-    p = {
+    vocab = start.vocab if start else vocabulary(words, VOCAB)
+    p = {k: v.copy() for k, v in start.params.items()} if start else {
         "word": rng.normal(0, 0.1, (len(vocab) + 1, dim)), "char": rng.normal(0, CHAR_INIT, (SLOTS, dim)),
         "in_f": rng.normal(0, 0.3, (dim, 3 * hidden)), "in_b": rng.normal(0, 0.3, (dim, 3 * hidden)), "b_f": np.zeros(3 * hidden), "b_b": np.zeros(3 * hidden),
         "w_f": recurrent_weights(rng, hidden), "w_b": recurrent_weights(rng, hidden),
@@ -220,6 +224,7 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim:
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     p["word"][-1] = 0
+    rate *= 0.6 if start else 1
     net, adam, known = WordNetwork(vocab, p), Adam(p, rate), words.rows_of(vocab)
     rows, owner = words.windows(window)
     bad, good = np.flatnonzero(labels[owner] == 1) if len(owner) else owner, np.flatnonzero(labels[owner] == 0) if len(owner) else owner
@@ -231,10 +236,10 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim:
     refresh = max(1, steps // 12)
     for step in range(steps):
         adam.rate = rate * (1 - 0.9 * step / steps)
-        if step and step % refresh == 0:
+        if step % refresh == 0 and (step or start):
             logit = net.window_logits(rows, net.projected(words), words.n)
             hard = good[np.argsort(-logit[good], kind="stable")[: max(batch, len(good) // 20)]]
-            if step >= 2 * refresh:
+            if step >= 2 * refresh or start:
                 # each toxic document's highest window, and others that are high by themselves
                 top = np.full(len(texts), -np.inf, np.float32)
                 np.maximum.at(top, owner, logit)
@@ -262,13 +267,30 @@ def cutoff(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(v[0] - 1 if k == 0 else v[-1] + 1 if k == len(v) else (v[k - 1] + v[k]) / 2)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_words: int) -> tuple[list[bytes], np.ndarray]:
-    """At most 2 * sample_docs labelled documents' texts of at most sample_words words each, by a hash of doc_id."""
+def picked_labels(labels: DataFrame, sample_docs: int) -> dict[int, tuple[int, float]]:
+    """doc_id -> (toxic, hash from 0 to 1) of at most sample_docs documents of each label, those of the least hashes."""
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     own = own.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40))
     kinds = [own.where(F.col("toxic") == 1), own.where(F.col("toxic") != 1)]
     # at most 2 * sample_docs rows reach the driver and go back to the tasks, so texts need not move to meet their labels
-    picked = {r.id: (r.toxic, r.u) for kind in kinds for r in kind.orderBy("u", "id").limit(sample_docs).collect()}
+    return {r.id: (r.toxic, r.u) for kind in kinds for r in kind.orderBy("u", "id").limit(sample_docs).collect()}
+
+
+def highest_stretch(net: WordNetwork, words: list[bytes], size: int, window: int, some: int = 50) -> bytes:
+    """Of the stretches of `size` words, starts size / 2 apart, the one with the highest window; `some` are scored at a time."""
+    best, found = -1.0, b""
+    starts = range(0, max(1, len(words) - size + size // 2), size // 2)
+    for i in range(0, len(starts), some):
+        parts = [b" ".join(words[at : at + size]) for at in starts[i : i + some]]
+        scores = net.score(parts, window)
+        if scores.max() > best:
+            best, found = float(scores.max()), parts[int(scores.argmax())]
+    return found
+
+
+def training_texts(docs: DataFrame, picked: dict[int, tuple[int, float]], sample_words: int, window: int, net: WordNetwork | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts of at most sample_words words, their labels, and which ones are parts of longer toxic texts. Of rows that repeat
+    a doc_id the one with the least such text counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,20 +299,31 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_
             few = b.take(pa.array(own, pa.int64()))
             for i, t in zip(few.column(0).to_pylist(), text_bytes(few), strict=True):
                 (toxic, v), words = picked[i], t.split()
-                at = int((v * 2**20) % 1 * max(0, len(words) - sample_words)) if toxic != 1 else 0
-                if toxic != 1 or len(words) <= sample_words:
-                    out.append((i, b" ".join(words[at : at + sample_words]), toxic))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "text", "toxic"])
+                part = toxic == 1 and len(words) > sample_words
+                if part and net is not None:
+                    out.append((i, highest_stretch(net, words, sample_words, window), toxic, part))
+                else:
+                    at = int((v * 2**20) % 1 * max(0, len(words) - sample_words))
+                    out.append((i, b" ".join(words[at : at + sample_words]), toxic, part))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "text", "toxic", "part"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, text binary, toxic int").toArrow().to_pydict()
-    order = sorted(zip(rows["doc_id"], rows["text"], rows["toxic"], strict=True))
-    return [t for _, t, _ in order], np.array([int(k == 1) for *_, k in order], np.int64)
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, text binary, toxic int, part boolean")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic", "part")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
+    order = sorted(zip(rows["doc_id"], rows["text"], rows["toxic"], rows["part"], strict=True))
+    return [r[1] for r in order], np.array([int(r[2] == 1) for r in order], np.int64), np.array([r[3] for r in order], bool)
 
 
 def learned(docs: DataFrame, labels: DataFrame, window: int, hidden: int, dim: int, steps: int, sample_docs: int, sample_words: int, held_mod: int, held_rest: int) -> WordNetwork:
-    texts, known = training_texts(docs, labels.where(~heldout(F.col("doc_id"), held_mod, held_rest)), sample_docs, sample_words)
-    return train(texts, known, window, hidden, dim, steps)
+    picked = picked_labels(labels.where(~heldout(F.col("doc_id"), held_mod, held_rest)), sample_docs)
+    texts, known, part = training_texts(docs, picked, sample_words, window)
+    if not part.any():
+        return train(texts, known, window, hidden, dim, steps)
+    # if all toxic ones are long, their parts by hash are the first network's only examples
+    own = ~part if (known[~part] == 1).any() else np.ones(len(part), bool)
+    first = train([t for t, k in zip(texts, own.tolist(), strict=True) if k], known[own], window, hidden, dim, max(1, steps * 2 // 5))
+    texts, known, _ = training_texts(docs, picked, sample_words, window, first)
+    return train(texts, known, window, hidden, dim, max(1, steps - steps * 2 // 5), start=first)
 
 
 def drop_toxic(
@@ -307,7 +340,10 @@ def drop_toxic(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The rows of `docs`, all columns, that score below 0.5. It learns and scores as `toxicity`; rows don't move."""
+    """The rows of `docs`, all columns, that score below 0.5. It learns and scores as `toxicity`; rows don't move.
+
+    Null texts and texts without words score 0 and stay. Null doc_ids and rows that repeat go or stay by their own text.
+    Further columns are carried along whatever their names; an empty table stays empty."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(learned(rows, labels, window, hidden, dim, steps, sample_docs, sample_words, held_mod, held_rest))
@@ -315,7 +351,7 @@ def drop_toxic(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for whole in batches:
-            for b in pieces_of(whole, 1_000_000, text_col):
+            for b in pieces_of(whole, PIECE, text_col):
                 yield b.filter(pa.array(net.score(text_bytes(b, text_col), window) < 0.5))
 
     return docs.mapInArrow(tidy(run), docs.schema)
@@ -349,7 +385,7 @@ def toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for whole in batches:
-            for b in pieces_of(whole, 1_000_000):
+            for b in pieces_of(whole, PIECE):
                 yield pa.record_batch([b.column(0), pa.array(net.score(text_bytes(b), window))], ["doc_id", "score"])
 
     out = rows.mapInArrow(tidy(run), "doc_id long, score double")
