@@ -117,7 +117,8 @@ def train(langs: list[str], data: np.ndarray, lengths: np.ndarray, labels: np.nd
 
 
 def training_windows(docs: DataFrame, sample_docs: int, doc_windows: int, window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages (all of them), and the sample's windows, lengths and labels."""
+    """Languages (all of them), and the sample's windows, lengths and labels. A row's hash is that of its id and text, and
+    equal windows of equal rows count once, so that neither null nor repeated ids make the sample larger."""
     counts = docs.groupBy("lang").count().collect()
     langs = sorted(r.lang for r in counts)
     rate = {r.lang: min(1.0, sample_docs / r["count"]) for r in counts}
@@ -137,8 +138,8 @@ def training_windows(docs: DataFrame, sample_docs: int, doc_windows: int, window
                     keys.append(v)
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(wins, pa.binary()), pa.array(keys, pa.float64())], ["lang", "bytes", "u"])
 
-    u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    got = docs.select("text", "lang", u).mapInArrow(tidy(run), "lang string, bytes binary, u double").toArrow().to_pydict()
+    u = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
+    got = docs.select("text", "lang", u).mapInArrow(tidy(run), "lang string, bytes binary, u double").distinct().toArrow().to_pydict()
     rows = sorted(zip(got["u"], got["lang"], got["bytes"], strict=True))
     at = {v: i for i, v in enumerate(langs)}
     raw = b"".join(r[2].ljust(window, b"\0") for r in rows)
