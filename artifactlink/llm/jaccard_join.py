@@ -62,12 +62,13 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
             yield b.column(0).to_pylist(), list(shingle_sets(text_bytes(b), size))
 
 
-def _by_bucket(bits: int, ids: np.ndarray) -> Iterator[tuple[int, slice]]:
+def _by_bucket(ids: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Buckets (above the low 32 bits) of sorted token ids, with their places."""
     high = ids >> np.uint64(32)
-    cuts = np.searchsorted(high, np.arange((1 << bits) + 1, dtype=np.uint64))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, slice(int(cuts[k]), int(cuts[k + 1]))
+    cuts = [0, *(np.flatnonzero(high[1:] != high[:-1]) + 1).tolist(), len(ids)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo:
+            yield int(high[lo]), slice(lo, hi)
 
 
 class Bitmap:
@@ -104,7 +105,7 @@ def hot_tokens(docs: DataFrame, size: int, hot: int, bits: int, folded: int) ->
             ids, n = np.unique(np.concatenate(parts) >> np.uint64(32 - bits), return_counts=True)
             n = np.minimum(n, 255).astype(np.uint8)
             low = ids.astype("<u4")
-            got = list(_by_bucket(bits, ids))
+            got = list(_by_bucket(ids))
             return pa.record_batch([pa.array([k for k, _ in got], pa.int32()), pa.array([low[s].tobytes() for _, s in got], pa.binary()), pa.array([n[s].tobytes() for _, s in got], pa.binary())], ["bucket", "ids", "n"])
 
         parts, total, seen = [], 0, set()
@@ -161,7 +162,7 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
             e["key"], e["n"] = np.repeat(np.array([p[0] for p in parts], np.int64), sizes), np.repeat(np.array([p[2] for p in parts], np.uint32), sizes)
             by = np.argsort(ids)
             ids, e = ids[by], e[by]
-            got = list(_by_bucket(bits, ids))
+            got = list(_by_bucket(ids))
             return pa.record_batch([pa.array([k for k, _ in got], pa.int32()), pa.array([e[s].tobytes() for _, s in got], pa.binary())], ["bucket", "entries"])
 
         parts, total = [], 0
@@ -205,6 +206,7 @@ def postings(docs: DataFrame, size: int, percent: int, bits: int, hot: Bitmap) -
     cold = texts.mapInArrow(tidy(cold_run), "bucket int, entries binary").groupBy("bucket").applyInPandas(meet, "token long, key long, n int")
     found = texts.mapInArrow(tidy(hot_run), "token long, key long, n int").groupBy("token", "key").agg(F.first("n").alias("n"))
     both = materialize(cold.unionByName(found), "first-tokens")
+    shared.destroy()
     several = both.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1")
     both = materialize(both.join(several, "token"), "met-tokens")
     own = Window.partitionBy("key")
@@ -224,7 +226,7 @@ def keyed_documents(docs: DataFrame, size: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, size: int, wanted: Bitmap) -> DataFrame:
-    """(key, tokens binary) of the sets whose key is in the bitmap (some others too), each once."""
+    """(key, tokens binary) of the sets whose key is in the bitmap (some others too), each once; written to the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +242,10 @@ def token_sets(docs: DataFrame, size: int, wanted: Bitmap) -> DataFrame:
             if own:
                 yield pa.record_batch([pa.array([k for k, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["key", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    found = docs.select("doc_id", "text").mapInArrow(tidy(run), "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    written = materialize(found, "sets")
+    shared.destroy()
+    return written
 
 
 def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
@@ -324,13 +329,13 @@ def open_parts(members: DataFrame, tried: DataFrame, sets: DataFrame, percent: i
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, size: int, bits: int) -> DataFrame:
-    """The token sets of (at least) the keys, written to the shared folder."""
+    """The token sets of (at least) the keys."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([pa.array(Bitmap.fold(b.column(0).to_numpy().view(np.uint64), bits).astype(np.int64))], ["i"])
 
-    return materialize(token_sets(docs, size, Bitmap.collect(keys.mapInArrow(tidy(fold), "i long"), bits)), "sets")
+    return token_sets(docs, size, Bitmap.collect(keys.mapInArrow(tidy(fold), "i long"), bits))
 
 
 def jaccard_components(
@@ -345,7 +350,8 @@ def jaccard_components(
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     small_batches(docs)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, min(20, int(np.ceil(np.log2(max(1, volume / 6 / bucket_tokens))))))
+    # a bucket's ids have 32 bits below it; more buckets than 2**31 would need a longer number
+    bits = max(0, min(31, int(np.ceil(np.log2(max(1, volume / 6 / bucket_tokens))))))
     shared = materialize(postings(rows, size, percent, bits, hot_tokens(rows, size, hot, bits, bitmap_bits)), "postings")
     stars = materialize(star_pairs(shared, percent), "stars")
     sets = sets_of(rows, stars.select("a").union(stars.select("b")), size, bitmap_bits)
@@ -358,14 +364,17 @@ def jaccard_components(
     label = groups if more.isEmpty() else components(links.union(more))
     keyed = keyed_documents(rows, size).join(label.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     keyed = materialize(keyed.select("doc_id", "n", "c"), "keyed")
-    least = keyed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    # a written table, as the rows are: AQE splits a component that holds many of them
+    least = materialize(keyed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     return keyed.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_smallest(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns, without those whose component has a smaller doc_id.
 
-    Rows go or stay by doc_id; rows without one, and rows that repeat one, all stay where their doc_id stays."""
+    Rows go or stay by doc_id; rows without one, and rows that repeat one, all stay where their doc_id stays. Null and
+    empty texts link with nothing and stay. Further columns are carried along whatever their names; an empty table stays
+    empty."""
     found = jaccard_components(docs, size, percent, id_col=id_col, text_col=text_col, **options)
     dropped = materialize(found.where("doc_id > component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    return docs.join(dropped, docs[id_col] == F.col("dropped_id"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["dropped_id"], "left_anti")
