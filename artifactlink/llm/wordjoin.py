@@ -46,9 +46,25 @@ def word_counts(docs: DataFrame, words: Callable[[bytes], list[bytes]] = split_w
     return docs.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Steps of a doubling of n in which `least_count` tells counts apart.
+_STEPS = 16
+
+
+def least_count(values: DataFrame, size: int) -> int:
+    """A count n that at most `size` words reach, as low as a histogram of log counts tells: no word is sorted."""
+    step = F.floor(F.log2("n") * _STEPS)
+    upto, best = 0, None
+    for r in sorted(values.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
+        upto += r.words
+        if upto > size:
+            return best if best is not None else (1 << 62)
+        best = r.least
+    return 0
+
+
 def head_of(values: DataFrame, value_cols: list[str], size: int = HEAD) -> dict[bytes, tuple]:
-    """The most frequent words (ties by word) with their values; at most `size` of them reach the driver."""
-    rows = values.orderBy(F.desc("n"), "word").limit(size).select("word", *value_cols).toArrow().to_pydict()
+    """The most frequent words with their values; at most `size` of them reach the driver, whole steps of counts."""
+    rows = values.where(F.col("n") >= least_count(values, size)).select("word", *value_cols).toArrow().to_pydict()
     return dict(zip(rows["word"], zip(*[rows[c] for c in value_cols], strict=True), strict=True))
 
 
