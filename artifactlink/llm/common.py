@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is made only where the session names none (local tests)."""
+    """The folder all executors share. Where the session names none, a temporary one serves a local session; a cluster has none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("artifactlink.scratch.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='artifactlink-')}"
         spark.conf.set("artifactlink.scratch.dir", where)
     return where
@@ -46,15 +49,22 @@ BATCH_BYTES = 4 << 20
 def small_batches(df: DataFrame) -> None:
     """Hold this session's Arrow batches to BATCH_BYTES, whatever their rows; a smaller setting stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key, str((1 << 31) - 1)).rstrip("b")) > BATCH_BYTES:
+    if byte_count(conf.get(key, str((1 << 31) - 1))) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a Spark size: a number with k, m, g, t or p and b after it, or none of them."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run` for mapInArrow that, at a task's end, gives freed memory back to the system: workers outlive their tasks."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 

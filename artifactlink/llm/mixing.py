@@ -28,6 +28,7 @@ WEIGHTS: dict[tuple[str, str], int] = {
     ("lang", "en"): 4, ("lang", "fr"): 2, ("lang", "de"): 2, ("lang", "es"): 1,
     ("source", "src0"): 3,
 }
+#: Sources have no domain of their own in `documents`: a hash of the name deals them out, where no domain column is named.
 DOMAINS = ("web", "reference", "forum", "code")
 
 
@@ -150,12 +151,16 @@ def mix_documents(
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """The documents themselves, selected from one epoch, with the columns of `docs`. The texts are not shuffled: each
-    row meets its leaf's cut, a table with a row per leaf that is broadcast while it is small."""
+    row meets its leaf's cut, a table with a row per leaf that is broadcast while it is small.
+
+    Null lang is `und`, null source `unknown`; a null or empty text has no words and stays where its key's place in the
+    order is reached. Rows that repeat a doc_id, and those without one, go or stay together. Further columns are carried
+    along whatever their names; an empty table stays empty."""
     sized = materialize(_sized(docs, id_col, text_col, lang_col, source_col, None), "mix-sizes")
     cut = cuts(sized, numer, denom, 1, seed, weights, bucket_digits).select(*[F.col(c).alias(f"cut_{c}") for c in [*LEAF, "whole", "stop"]])
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("1"), F.coalesce(docs[id_col].cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.join(
         cut,
-        (domain_of(docs[source_col]) == F.col("cut_domain")) & (F.coalesce(docs[lang_col], F.lit("und")) == F.col("cut_lang")) & (F.coalesce(docs[source_col], F.lit("unknown")) == F.col("cut_source")),
+        (domain_of(docs[source_col]) == cut["cut_domain"]) & (F.coalesce(docs[lang_col], F.lit("und")) == cut["cut_lang"]) & (F.coalesce(docs[source_col], F.lit("unknown")) == cut["cut_source"]),
     )
-    return rows.where((F.col("cut_whole") >= 1) | (key < F.col("cut_stop"))).select(*[docs[c] for c in docs.columns])
+    return rows.where((cut["cut_whole"] >= 1) | (key < cut["cut_stop"])).select(*[docs[c] for c in docs.columns])

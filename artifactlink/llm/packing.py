@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from artifactlink.llm.common import materialize, project, row_base, small_batches, text_bytes, tidy
 from artifactlink.llm.token_counts import load_tokenizer
 
-#: Distinct pre-tokens, and stems, whose ids a worker process keeps.
+#: Distinct pre-tokens, and stems, whose ids a worker process keeps: about 200 MB of memory.
 CACHE = 600_000
 _PUNCTUATION = frozenset(b".,;:!?")
 
@@ -103,16 +103,16 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=1)
-def cached_encoder(path: str) -> CachedEncoder:
-    """One for all tasks that a worker process runs; what it keeps is bounded by CACHE."""
-    return CachedEncoder(path)
+def cached_encoder(path: str, size: int = CACHE) -> CachedEncoder:
+    """One for all tasks that a worker process runs; what it keeps is bounded by `size`."""
+    return CachedEncoder(path, size)
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int, cache: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, rid): only documents longer than `limit` are cut, all pieces full but the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rid, end = cached_encoder(tokenizer_path), row_base(), np.array([end_id], "<u4").tobytes()
+        encode, rid, end = cached_encoder(tokenizer_path, cache), row_base(), np.array([end_id], "<u4").tobytes()
         step = 4 * limit
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -205,14 +205,17 @@ def pack_best_two_fit(
     group_rows: int = 50_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cache: int = CACHE,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    `cache` is how many pre-tokens, and stems, each worker process keeps the ids of: memory against time.
+
     Every document ends with `end_id`, so a null or empty text is one piece of length 1. Rows that repeat and null
     doc_ids are packed as any other row. Other columns of the input play no part. An empty table gives no rows.
     """
     small_batches(docs)
-    pieces = materialize(tokenize_pieces(project(docs, doc_id=id_col, text=text_col), tokenizer_path, capacity, end_id), "pieces")
+    pieces = materialize(tokenize_pieces(project(docs, doc_id=id_col, text=text_col), tokenizer_path, capacity, end_id, cache), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
