@@ -64,13 +64,18 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def project(docs: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under internal names, so that extra or clashing columns of the input never matter."""
     return docs.select(*[docs[c].alias(name) for name, c in columns.items()])

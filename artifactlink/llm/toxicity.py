@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.llm.bigru import Adam, gru_gradients, gru_with_cache, recurrent_weights, run_gru, sigmoid
-from artifactlink.llm.common import ASCII_LOWER, heldout, pieces_of, small_batches, text_bytes, tidy
+from artifactlink.llm.common import ASCII_LOWER, give_back, heldout, pieces_of, small_batches, text_bytes, tidy
 from artifactlink.llm.shingles import mix, word_places
 
 #: ASCII letters and digits, lower case, and all other bytes from 0x80; everything else ends a word.
@@ -40,6 +40,38 @@ _GRAMS = (3, 4, 5)
 PIECE = 500_000
 
 
+#: Words whose n-grams are made at a time.
+_SOME = 50_000
+
+
+def _word_grams(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of words of a buffer, and which word each is of, in the words' order."""
+    # each word between a mark for its start and one for its end
+    sizes = lengths + 2
+    at = np.cumsum(sizes) - sizes
+    chars = np.empty(int(sizes.sum()), np.uint64)
+    chars[at], chars[at + sizes - 1] = 1, 2
+    inner = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.ones(len(chars), bool)
+    place[at] = place[at + sizes - 1] = False
+    chars[place] = np.frombuffer(raw, np.uint8)[inner]
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+    grams, owners = [], []
+    for k in _GRAMS:
+        m = len(chars) - k + 1
+        if m <= 0:
+            continue
+        same = owner[:m] == owner[k - 1 :]
+        key = np.zeros(m, np.uint64)
+        for j in range(k):
+            key = key * np.uint64(1099511628211) + chars[j : j + m]
+        grams.append((mix(key[same] + np.uint64(k << 60)) >> np.uint64(49)).astype(np.uint16))
+        owners.append(owner[:m][same])
+    gram, own = np.concatenate(grams), np.concatenate(owners)
+    by = np.argsort(own, kind="stable")
+    return gram[by], own[by]
+
+
 class Words:
     """Distinct words of some texts, hashed, with their character n-grams; and the texts as rows of word numbers."""
 
@@ -48,31 +80,13 @@ class Words:
         _, first, self.ids = np.unique(h, return_index=True, return_inverse=True)
         self.n = len(first)
         self.hash = h[first]
-        lengths = (ends - starts)[first]
-        # each distinct word between a mark for its start and one for its end
-        sizes = lengths + 2
-        at = np.cumsum(sizes) - sizes
-        chars = np.empty(int(sizes.sum()), np.uint64)
-        chars[at], chars[at + sizes - 1] = 1, 2
-        inner = np.repeat(starts[first], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.ones(len(chars), bool)
-        place[at] = place[at + sizes - 1] = False
-        chars[place] = np.frombuffer(raw, np.uint8)[inner]
-        owner = np.repeat(np.arange(self.n), sizes)
-        grams, owners = [], []
-        for k in _GRAMS:
-            m = len(chars) - k + 1
-            if m <= 0:
-                continue
-            same = owner[:m] == owner[k - 1 :]
-            key = np.zeros(m, np.uint64)
-            for j in range(k):
-                key = key * np.uint64(1099511628211) + chars[j : j + m]
-            grams.append((mix(key[same] + np.uint64(k << 60)) >> np.uint64(49)).astype(np.int64))
-            owners.append(owner[:m][same])
-        gram, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owners))
-        by = np.argsort(own, kind="stable")
-        self.gram, self.gram_owner = gram[by], own[by]
+        starts, lengths = starts[first], (ends - starts)[first]
+        grams, owners = [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
+        for lo in range(0, self.n, _SOME):
+            gram, own = _word_grams(raw, starts[lo : lo + _SOME], lengths[lo : lo + _SOME])
+            grams.append(gram)
+            owners.append(own + np.int32(lo))
+        self.gram, self.gram_owner = np.concatenate(grams), np.concatenate(owners)
         self.gram_count = np.bincount(self.gram_owner, minlength=self.n)
 
         self.cuts = np.concatenate([[0], np.cumsum(self.gram_count)])
@@ -211,8 +225,9 @@ def vocabulary(words: Words, size: int) -> np.ndarray:
     return np.sort(words.hash[best[texts[best] >= max(3, len(words.counts) // 200)]])
 
 
-def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim: int, steps: int, batch: int = 192, rate: float = 0.01, seed: int = 11, start: WordNetwork | None = None) -> WordNetwork:
-    """The network after `steps` batches; it goes on from `start`, and its vocabulary, if there is one."""
+def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim: int, steps: int, batch: int = 192, rate: float = 0.01, seed: int = 11, start: WordNetwork | None = None, refresh: int = 0) -> WordNetwork:
+    """The network after `steps` batches; it goes on from `start`, and its vocabulary, if there is one. Every `refresh` steps all
+    windows are scored, to choose among them."""
     rng = np.random.default_rng(seed)
     words = Words(texts)
     vocab = start.vocab if start else vocabulary(words, VOCAB)
@@ -233,7 +248,7 @@ def train(texts: list[bytes], labels: np.ndarray, window: int, hidden: int, dim:
         p["out"][:] = 0
         return net
     bad_all, hard = bad, good
-    refresh = max(1, steps // 12)
+    refresh = refresh or max(1, steps // 12)
     for step in range(steps):
         adam.rate = rate * (1 - 0.9 * step / steps)
         if step % refresh == 0 and (step or start):
@@ -321,9 +336,11 @@ def learned(docs: DataFrame, labels: DataFrame, window: int, hidden: int, dim: i
         return train(texts, known, window, hidden, dim, steps)
     # if all toxic ones are long, their parts by hash are the first network's only examples
     own = ~part if (known[~part] == 1).any() else np.ones(len(part), bool)
-    first = train([t for t, k in zip(texts, own.tolist(), strict=True) if k], known[own], window, hidden, dim, max(1, steps * 2 // 5))
+    first = train([t for t, k in zip(texts, own.tolist(), strict=True) if k], known[own], window, hidden, dim, max(1, steps * 2 // 5), refresh=max(1, steps // 12))
+    del texts, known
+    give_back()
     texts, known, _ = training_texts(docs, picked, sample_words, window, first)
-    return train(texts, known, window, hidden, dim, max(1, steps - steps * 2 // 5), start=first)
+    return train(texts, known, window, hidden, dim, max(1, steps - steps * 2 // 5), start=first, refresh=max(1, steps // 12))
 
 
 def drop_toxic(
