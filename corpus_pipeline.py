@@ -20,6 +20,10 @@ from artifactlink.llm.queries import tokenizer_path
 from artifactlink.llm.toxicity import drop_toxic
 
 
+#: Pre-tokens that a worker keeps the ids of. Here it shares its executor with what earlier stages left in the JVM.
+PACKING_CACHE = 200_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_best_two_fit(docs, tokenizer_path())
+    return pack_best_two_fit(docs, tokenizer_path(), cache=PACKING_CACHE)
 
 
 STAGES = [
