@@ -89,8 +89,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-confidence", type=float, default=0.80)
     c.add_argument("--low-confidence", type=float, default=0.55)
     c.add_argument("--max-candidates", type=int, default=10)
-    c.add_argument("--txt-preview", type=int, default=2000)
-    c.add_argument("--txt-chunk", type=int, default=10_000)
+    c.add_argument("--max-txt-rows", "--txt-preview", dest="txt_preview", type=int, default=2000)
+    c.add_argument("--txt-chunk-rows", "--txt-chunk", dest="txt_chunk", type=int, default=10_000)
     for flag in ("--members", "--low-memory", "--no-strict-package", "--full-txt", "--allow-unverified", "--no-html", "--no-json", "--no-proguard"):
         c.add_argument(flag, action="store_true")
     i = sub.add_parser("inspect", parents=[common])
@@ -128,8 +128,8 @@ def run(args: argparse.Namespace) -> None:
         spark = session(args)
         mapping = None
         if args.mapping:
-            m = reports.read_mapping(spark, args.mapping)
-            mapping = C.M.json_replacements(m.matches, m.old, m.new, safe_only=True).select("old", "new")
+            pairs = C.load_replacements(spark, args.mapping)
+            mapping = spark.createDataFrame(sorted(pairs.items()), "old string, new string")
         x = C.audit_references(spark, args.target, args.source_dex, args.references, args.ignore_prefix, args.include_prefix, mapping).persist()
         reports.write_audit(x, args.output, args.target, args.allow_missing)
         C.require_pass(x, args.allow_missing)

@@ -15,6 +15,8 @@ from artifactlink.functions.text import normalize_class_query
 #: A maximal run of name characters: ASCII letters, digits, `_ $ / .`, and whatever isn't ASCII or white space.
 NAME_RUN = r"(?:[A-Za-z0-9_$/.]|[^\x00-\x7F\s])+"
 _PRIMITIVES = "BCDFIJSZ"
+#: Line numbers of a block of a mapping text.
+BLOCK = 50_000
 #: Statuses that a JSON mapping gives, alone and with include_unsafe.
 SAFE_STATUS, UNSAFE_STATUS = ("Matched",), ("Matched", "LowConfidence", "Conflict", "SemanticBreak")
 
@@ -28,8 +30,9 @@ def normalize_replacements(rows: DataFrame) -> DataFrame:
 def parse_mapping_lines(lines: DataFrame, include_unsafe: bool = False) -> DataFrame:
     """(line_no, text) of a report or ProGuard mapping -> (old, new, ord) descriptors.
 
-    `# UNSAFE` marks the next mapping line, which is left out unless asked for; lines between keep the mark. The mark of
-    a line is whether one stands after the mapping line before it: a running maximum, in one window over a small file."""
+    `# UNSAFE` marks the next mapping line, which is left out unless asked for; lines between keep the mark. A line is
+    marked if a mark stands after the mapping line before it: running maxima, taken within blocks of `BLOCK` line numbers
+    and, over one row a block, carried from block to block."""
     t = F.trim("text")
     left, right = F.substring_index("text", " -> ", 1), F.expr("substring(text, instr(text, ' -> ') + 4)")
     arrow = F.instr("text", " -> ") > 0
@@ -40,8 +43,13 @@ def parse_mapping_lines(lines: DataFrame, include_unsafe: bool = False) -> DataF
     pro = F.struct(F.when(name(1) != "", desc(name(1))).alias("old"), F.when(name(2) != "", desc(name(2))).alias("new"))
     x = lines.withColumn("p", F.when(arrow & pair["old"].isNotNull() & pair["new"].isNotNull(), pair).when(pro["old"].isNotNull(), pro))
     x = x.withColumns({"is_map": F.col("p").isNotNull(), "mark": F.when(t.startswith("# UNSAFE"), F.col("line_no"))})
-    before = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"last_mark": F.max("mark").over(before), "last_map": F.max(F.when(F.col("is_map"), F.col("line_no"))).over(before)})
+    x = x.withColumns({"map": F.when(F.col("is_map"), F.col("line_no")), "block": F.floor(F.col("line_no") / BLOCK)})
+    blocks = x.groupBy("block").agg(F.max("mark").alias("mark"), F.max("map").alias("map"))
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("block").alias("b"), F.max("mark").over(upto).alias("mark_before"), F.max("map").over(upto).alias("map_before"))
+    x = x.join(blocks, F.col("block") == F.col("b"))
+    before = Window.partitionBy("block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"last_mark": F.greatest(F.max("mark").over(before), "mark_before"), "last_map": F.greatest(F.max("map").over(before), "map_before")})
     unsafe = F.col("last_mark").isNotNull() & (F.col("last_map").isNull() | (F.col("last_mark") > F.col("last_map")))
     keep = F.col("is_map") if include_unsafe else F.col("is_map") & ~unsafe
     return x.where(keep).select(F.col("p.old").alias("old"), F.col("p.new").alias("new"), F.col("line_no").alias("ord"))

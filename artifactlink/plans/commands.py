@@ -110,7 +110,11 @@ def audit_references(
     """operators.audit.audit over the chosen DEX files of an input and standalone DEX files (sources and definitions)."""
     if not source_dex and not references:
         raise InputError("audit-refs requires at least one --source-dex or --references input")
-    blobs = dex_blobs(resolve_parts(spark, target, "target")).where("dex_file is not null").select("apk_part", "dex_file", "content", "part_ord", "dex_ord").withColumn("standalone", F.lit(False))
+    found = dex_blobs(resolve_parts(spark, target, "target")).persist()
+    bad = found.where("error is not null and error not like 'no DEX files found%'").select("apk_part", "error").first()
+    if bad:
+        raise ArtifactError(f"{bad.apk_part}: {bad.error}")
+    blobs = found.where("dex_file is not null").select("apk_part", "dex_file", "content", "part_ord", "dex_ord").withColumn("standalone", F.lit(False))
     chosen = F.lit(False)
     for s in source_dex:
         one = (F.concat("apk_part", F.lit("!"), "dex_file") == s) if "!" in s else (F.col("dex_file") == s)
@@ -119,7 +123,8 @@ def audit_references(
         chosen = chosen | one
     blobs = blobs.withColumn("source", chosen)
     for i, path in enumerate(references):
-        extra = spark.read.format("binaryFile").load(path).select(F.lit(path.rpartition("/")[2]).alias("apk_part"), F.lit(path.rpartition("/")[2]).alias("dex_file"), "content")
+        # known by its whole path: files of one name in different folders stay apart
+        extra = spark.read.format("binaryFile").load(path).select(F.lit("standalone").alias("apk_part"), F.lit(path).alias("dex_file"), "content")
         extra = extra.select("*", F.lit(1 << 40).cast("bigint").alias("part_ord"), F.lit(i).cast("bigint").alias("dex_ord"), F.lit(True).alias("standalone"), F.lit(True).alias("source"))
         blobs = blobs.unionByName(extra)
     blobs = blobs.persist()
@@ -127,10 +132,14 @@ def audit_references(
     bad = sites.where("error is not null").select("apk_part", "dex_file", "error").first()
     if bad:
         raise InputError(f"cannot audit {bad.apk_part}!{bad.dex_file}: {bad.error}")
-    order = blobs.select("apk_part", "dex_file", "standalone", (F.col("part_ord") * 1_000_000 + F.col("dex_ord")).alias("load_ord"))
+    order = blobs.select("apk_part", "dex_file", "standalone", F.struct("part_ord", "dex_ord", "dex_file").alias("load_ord"))
     sites = sites.join(order.select("apk_part", "dex_file", "standalone"), ["apk_part", "dex_file"])
     sites = sites.withColumn("site_id", F.concat_ws("!", "apk_part", "dex_file", F.col("pos").cast("string"))).withColumnsRenamed({"apk_part": "part", "dex_file": "dex"}).drop("error", "pos")
-    defs = _exploded(blobs, _DEFS, _definition_rows).join(order.select("apk_part", "dex_file", "load_ord"), ["apk_part", "dex_file"])
+    defs = _exploded(blobs, _DEFS, _definition_rows).persist()
+    bad = defs.where("error is not null").select("apk_part", "dex_file", "error").first()
+    if bad:
+        raise ArtifactError(f"{bad.apk_part}!{bad.dex_file}: {bad.error}")
+    defs = defs.join(order.select("apk_part", "dex_file", "load_ord"), ["apk_part", "dex_file"])
     classes = defs.where("what = 'class'").select("descriptor", "load_ord", F.col("apk_part").alias("part"), F.col("dex_file").alias("dex"), "superclass", "interfaces")
     methods = defs.where("what = 'method'").select(F.col("descriptor").alias("owner"), "name", "params", "ret", "is_static", "is_direct", "load_ord")
     fields = defs.where("what = 'field'").select(F.col("descriptor").alias("owner"), "name", F.col("ret").alias("type"), "is_static", "load_ord")

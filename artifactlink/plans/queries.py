@@ -15,6 +15,7 @@ from artifactlink.operators import audit as AU
 from artifactlink.operators import candidates as C
 from artifactlink.operators import decide as D
 from artifactlink.operators import mapping as M
+from artifactlink.operators import members as MB
 from artifactlink.operators import scoring as SC
 from artifactlink.operators.graph import ancestors
 from artifactlink.operators.inspect import roll_up
@@ -216,6 +217,66 @@ def _count_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return x.where(~F.col("late")), x.where("late")
 
 
+@query(f"WITH {DOC_SQL} SELECT DISTINCT a.doc_id AS old_id, b.doc_id AS new_id FROM useful a JOIN rare USING (token) JOIN useful b USING (token) WHERE a.side = 0 AND b.side = 1")
+def rare_join(spark: SparkSession, d: str) -> DataFrame:
+    """The blocking join through rare anchors, over documents that have strings only."""
+    none = [F.array().cast("array<string>").alias(c) for c in ("method_ref_shapes", "field_ref_shapes", "method_proto_shapes", "field_type_shapes")]
+    old, new = (documents(spark, d, side).select("*", *none) for side in (0, 1))
+    return C.rare_candidates(old, new, A.rare_anchors(old, new, STRINGS)).select("old_id", "new_id").distinct()
+
+
+@query("SELECT s_suppkey AS old_id, new_id FROM supplier, (SELECT p_partkey AS new_id FROM part ORDER BY p_name, p_partkey LIMIT 7) WHERE s_suppkey % 2 = 0")
+def fallback_join(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that nothing else met, with the first ones of the other side by descriptor; the limit is the feature."""
+    left = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("old_id"))
+    return C.fallback_pairs(left, table(spark, d, "part").select(F.col("p_partkey").alias("class_id"), F.col("p_name").alias("descriptor")), 7)
+
+
+@query("""WITH s AS (SELECT o_custkey AS old_id, o_orderkey AS new_id, (o_orderkey % 50)::FLOAT / 50::FLOAT AS score, o_orderkey % 4 AS k FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) AS rk FROM s WHERE score >= 0.5::FLOAT),
+b AS (SELECT c_custkey AS old_id, max(new_id) FILTER (rk = 1) AS new_id, max(score) FILTER (rk = 1) AS score, max(k) FILTER (rk = 1) AS k, max(score) FILTER (rk = 2) AS score2, max(k) FILTER (rk = 2) AS k2 FROM customer LEFT JOIN r ON old_id = c_custkey GROUP BY 1)
+SELECT old_id, new_id, CASE WHEN new_id IS NULL THEN 'UnresolvedOld' WHEN k = 1 THEN 'SemanticBreak' WHEN k = 2 OR (score2 IS NOT NULL AND score - score2 <= 0.03::FLOAT AND NOT (k = 0 AND k2 <> 0)) THEN 'Conflict'
+  WHEN k <> 0 THEN 'LowConfidence' WHEN score >= 0.8::FLOAT THEN 'Matched' ELSE 'LowConfidence' END AS status FROM b""")
+def class_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as candidates of their customer, scored by their number: the status chain of classes."""
+    k = F.col("o_orderkey") % 4
+    reason = F.when(k == 0, "verified: x").when(k == 1, P.SEMANTIC_BREAK).when(k == 2, P.WEAK_SHAPE).otherwise("same descriptor")
+    score = S.f32((F.col("o_orderkey") % 50).cast("float") / F.lit(50.0).cast("float"))
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("old_id"), F.col("o_orderkey").alias("new_id"), score.alias("score"), F.array(reason).alias("reasons")).where(F.col("score") >= S.f32(0.5))
+    m = D.decided(table(spark, d, "customer").select(F.col("c_custkey").alias("old_id")), D.top_candidates(s, 5), D.MatchConfig())
+    return m.select(F.col("old_class_id").alias("old_id"), F.col("new_class_id").alias("new_id"), "status")
+
+
+_FIELDS_SQL = """WITH m AS (SELECT DISTINCT l_suppkey AS c, l_shipdate >= TIMESTAMP '1998-06-01' AS late, 'f' || l_linenumber || CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' AND l_suppkey % 3 = 0 THEN 'x' ELSE '' END AS name, l_returnflag || l_linestatus AS type FROM lineitem),
+i AS (SELECT *, row_number() OVER (PARTITION BY late ORDER BY c, name, type) AS id FROM m),
+pairs AS (SELECT c FROM i GROUP BY 1 HAVING bool_or(late) AND bool_or(NOT late)),
+s AS (SELECT o.c, o.id AS old_id, n.id AS new_id, CASE WHEN o.name = n.name THEN 0.4::FLOAT ELSE 0::FLOAT END + CASE WHEN o.type = n.type THEN 0.6::FLOAT ELSE 0::FLOAT END AS score
+  FROM i o JOIN pairs USING (c) JOIN i n ON n.c = o.c AND n.late AND NOT o.late),
+r AS (SELECT *, row_number() OVER (PARTITION BY c, old_id ORDER BY score DESC, new_id) AS rk FROM s WHERE score >= 0.55::FLOAT),
+b AS (SELECT c, i.id AS old_id, max(new_id) FILTER (rk = 1) AS new_id, max(score) FILTER (rk = 1) AS score, max(score) FILTER (rk = 2) AS score2 FROM i JOIN pairs USING (c) LEFT JOIN r ON r.old_id = i.id AND r.c = i.c WHERE NOT late GROUP BY ALL),
+t AS (SELECT c AS class_id, old_id, new_id, coalesce(score, 0::FLOAT) AS score, CASE WHEN new_id IS NULL THEN 'UnresolvedOld' WHEN score2 IS NOT NULL AND score - score2 <= 0.03::FLOAT THEN 'Conflict' WHEN score >= 0.8::FLOAT THEN 'Matched' ELSE 'LowConfidence' END AS status FROM b)
+SELECT class_id, old_id, new_id, round(score::DOUBLE, 5) AS score, status FROM t
+UNION ALL SELECT c, NULL, id, 0.0, 'UnresolvedNew' FROM i JOIN pairs USING (c) WHERE late AND id NOT IN (SELECT new_id FROM t WHERE new_id IS NOT NULL)"""
+
+
+@query(_FIELDS_SQL)
+def member_match_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as classes, line numbers with flags as their fields, before and after the cut: the match of members."""
+    late, s = F.col("l_shipdate") >= CUT, F.col("l_suppkey")
+    name = F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.when(late & (s % 3 == 0), "x").otherwise(""))
+    m = table(spark, d, "lineitem").select(s.alias("id"), late.alias("late"), name.alias("name"), F.concat("l_returnflag", "l_linestatus").alias("type")).distinct()
+    # ids run over a side's members by class: numbers in a class, and what the classes before it have
+    counts = m.groupBy("late", "id").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("late", "id", (F.sum("n").over(Window.partitionBy("late").orderBy("id")) - F.col("n")).alias("before"))
+    m = m.withColumn("k", F.row_number().over(Window.partitionBy("late", "id").orderBy("name", "type"))).join(before, ["late", "id"])
+    one = F.struct((F.col("before") + F.col("k")).alias("id"), F.concat(F.lit("L"), F.col("id").cast("string"), F.lit(";")).alias("owner_class"), "name", F.col("type").alias("field_type"), F.lit(1).cast("bigint").alias("access_flags"))
+    side = lambda c: m.where(c).groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("fields"))
+    old, new = side(~F.col("late")), side(F.col("late"))
+    matches = old.select(F.col("id").alias("old_class_id")).join(new.select(F.col("id").alias("new_class_id")), F.col("old_class_id") == F.col("new_class_id")).withColumn("status", F.lit("Matched"))
+    x = MB.match_members(matches, old, new, "fields")
+    return x.select(F.col("old_class_id").alias("class_id"), F.col("old_member_id").alias("old_id"), F.col("new_member_id").alias("new_id"), F.round(F.col("score").cast("double"), 5).alias("score"), "status")
+
+
 @query(f"WITH {_COUNTS} SELECT old_id, new_id FROM met")
 def count_band_join(spark: SparkSession, d: str) -> DataFrame:
     return C.band_candidates(*_count_sides(spark, d)).select("old_id", "new_id")
@@ -317,7 +378,8 @@ def prefix_policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, d: str, mapping: DataFrame | None = None) -> DataFrame:
-    """Line items as method references: owner is the part, name its line status, prototype its return flag."""
+    """Line items, all of them, as method references: owner is the part, name its line status, prototype its return flag.
+    Definitions come from the parts up to size 40; larger parts are the owners that a reference doesn't find."""
     l, part = table(spark, d, "lineitem"), table(spark, d, "part")
     owner = lambda k: F.concat(F.lit("Lp/"), k.cast("string"), F.lit(";"))
     text = lambda v: F.lit(v)
@@ -363,6 +425,37 @@ def reference_audit_pass(spark: SparkSession, d: str) -> DataFrame:
     return AU.audit_counts(_audit(spark, d))
 
 
+@query("""WITH def AS (SELECT DISTINCT 'Lu/' || user_id || ';' AS owner, event_type AS name, 'T' || user_id % 3 AS type, user_id % 4 = 0 AS is_static FROM events WHERE user_id % 5 <> 0),
+site AS (SELECT DISTINCT 'Lu/' || user_id || ';' AS owner, event_type AS name, 'T' || event_id % 4 AS type, event_id % 2 = 0 AS is_static FROM events),
+known AS (SELECT DISTINCT owner FROM def),
+f AS (SELECT 'field' AS kind, s.owner || '->' || s.name || ':' || s.type AS reference, CASE WHEN s.is_static THEN 'static' ELSE 'instance' END AS dispatch,
+  CASE WHEN k.owner IS NULL THEN 'missing_owner' WHEN d.owner IS NULL THEN 'missing_field' WHEN d.type <> s.type THEN 'changed_descriptor'
+       WHEN s.is_static OR NOT d.is_static THEN CASE WHEN s.is_static = d.is_static THEN '' ELSE 'member_kind_mismatch' END ELSE 'member_kind_mismatch' END AS reason
+  FROM site s LEFT JOIN known k USING (owner) LEFT JOIN def d ON d.owner = s.owner AND d.name = s.name),
+c AS (SELECT DISTINCT 'class' AS kind, 'Lu/' || user_id || ';' AS reference, '' AS dispatch, CASE WHEN user_id % 5 = 0 THEN 'missing_owner' ELSE '' END AS reason FROM events)
+SELECT kind, reference, dispatch, reason FROM f UNION ALL SELECT * FROM c""")
+def reference_audit_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Events as references to fields (owner: the user, name: the type of event) and to classes in array descriptors."""
+    e = table(spark, d, "events")
+    owner = F.concat(F.lit("Lu/"), F.col("user_id").cast("string"), F.lit(";"))
+    kind = lambda c, n: F.concat(F.lit("T"), (c % n).cast("string"))
+    no_list = F.array().cast("array<string>")
+    none = F.lit(None).cast("string")
+    field = e.select(owner.alias("owner"), F.col("event_type").alias("name"), kind(F.col("event_id"), 4).alias("ret"), AU.field_dispatch(F.when(F.col("event_id") % 2 == 0, 0x60).otherwise(0x52)).alias("dispatch")).distinct()
+    classes = e.select(F.concat(F.lit("["), owner).alias("owner"), none.alias("name"), none.alias("ret"), none.alias("dispatch")).distinct()
+    sites = field.withColumn("kind", F.lit("field")).unionByName(classes.withColumn("kind", F.lit("class")))
+    sites = sites.select(
+        F.xxhash64("kind", "owner", "name", "ret", "dispatch").alias("site_id"), "kind", "owner", "name", no_list.alias("params"), "ret", "dispatch", F.lit("base").alias("part"), F.lit("d1").alias("dex"),
+        F.lit("S").alias("source_class"), F.coalesce("dispatch", F.lit("")).alias("source_method"), F.lit(0).cast("bigint").alias("offset"), F.lit(False).alias("standalone"),
+    )
+    have = e.where("user_id % 5 <> 0").select(owner.alias("owner"), F.col("event_type").alias("name"), kind(F.col("user_id"), 3).alias("type"), (F.col("user_id") % 4 == 0).alias("is_static")).distinct()
+    fields = have.withColumn("load_ord", F.lit(0))
+    defs = have.select(F.col("owner").alias("descriptor")).distinct().select("descriptor", F.lit(0).alias("load_ord"), F.lit("base").alias("part"), F.lit("d1").alias("dex"), none.alias("superclass"), no_list.alias("interfaces"))
+    methods = fields.select("owner", "name", no_list.alias("params"), F.col("type").alias("ret"), "is_static", F.lit(False).alias("is_direct"), "load_ord").where(F.lit(False))
+    out = AU.audit(sites, defs, methods, fields, ignore=())
+    return out.select("kind", "reference", F.col("source_method").alias("dispatch"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query("SELECT p_name AS descriptor, min(p_partkey) AS load_ord, arg_min(p_brand, p_partkey) AS brand FROM part GROUP BY 1")
 def definition_index_first_wins(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_name").alias("descriptor"), F.col("p_partkey").alias("load_ord"), F.col("p_brand").alias("brand"))
@@ -401,11 +494,11 @@ def remap_texts(spark: SparkSession, d: str) -> DataFrame:
     return M.rewrite_texts(table(spark, d, "documents").select("doc_id", "text"), "text", pairs)
 
 
-@query("""WITH l AS (SELECT conv_id * 100 + turn AS line_no, CASE WHEN turn % 3 = 1 AND conv_id % 2 = 0 THEN '# UNSAFE: x' WHEN turn % 3 <> 1 THEN 'La/C' || conv_id || '; -> Lb/D' || turn || '; tail' ELSE 'text' END AS text FROM conversations WHERE conv_id < 60),
+@query("""WITH l AS (SELECT conv_id * 100 + turn AS line_no, CASE WHEN turn % 3 = 1 AND conv_id % 2 = 0 THEN '# UNSAFE: x' WHEN turn % 3 <> 1 THEN 'La/C' || conv_id || '; -> Lb/D' || turn || '; tail' ELSE 'text' END AS text FROM conversations),
 m AS (SELECT *, text LIKE 'La/%' AS is_map, max(CASE WHEN text LIKE '# UNSAFE%' THEN line_no END) OVER w AS mark, max(CASE WHEN text LIKE 'La/%' THEN line_no END) OVER w AS last_map FROM l WINDOW w AS (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT regexp_extract(text, '(La/[^;]*;)', 1) AS old, regexp_extract(text, '(Lb/[^;]*;)', 1) AS new, line_no AS ord FROM m WHERE is_map AND NOT (mark IS NOT NULL AND (last_map IS NULL OR mark > last_map))""")
 def unsafe_flag_scan(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("conv_id < 60")
+    c = table(spark, d, "conversations")
     m = F.col("turn") % 3
     line = F.when((m == 1) & (F.col("conv_id") % 2 == 0), F.lit("# UNSAFE: x")).when(m != 1, F.format_string("La/C%d; -> Lb/D%d; tail", "conv_id", "turn")).otherwise("text")
     return M.parse_mapping_lines(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), line.alias("text")))

@@ -72,11 +72,20 @@ def mapping_rows(x: DataFrame) -> DataFrame:
     """(status, n, text): numbered rows of each section, with an unsafe mark in front of mapped rows that aren't Matched."""
     n = F.row_number().over(Window.partitionBy("status").orderBy(F.asc_nulls_last("old_class_id"), F.asc_nulls_last("new_class_id")))
     mark = F.when(F.col("status").isin(*MAPPED[1:]), F.concat(F.lit("# UNSAFE: "), "status", F.lit("\n"))).otherwise("")
-    text = F.concat(mark, F.lit("["), two_decimals(F.col("score")), F.lit("] "), "old_label", F.lit(" -> "), "new_label", F.lit("\n  reasons: "), F.array_join("reasons", "; "))
+    why = F.array_join("reasons", ", ")
+    mapped = F.concat(mark, F.lit("["), two_decimals(F.col("score")), F.lit("] "), "old_label", F.lit(" -> "), "new_label", F.when(why != "", F.concat(F.lit("\n  reasons: "), why)).otherwise(""))
+    text = F.when(F.col("status").isin(*MAPPED), mapped).otherwise(F.concat(F.when(F.col("status") == "UnresolvedOld", F.col("old_label")).otherwise(F.col("new_label")), F.lit(": "), why))
     return x.select("status", n.alias("n"), text.alias("text"))
 
 
-def write_mapping(x: DataFrame, out: str, preview: int = 2000, chunk: int = 10_000) -> None:
+#: Titles of the sections of mapping.txt, by status. File names of chunks are the titles in lower case.
+TITLES = {
+    "Matched": "MATCHED CLASSES", "LowConfidence": "LOW CONFIDENCE CLASSES", "Conflict": "CONFLICTS", "SemanticBreak": "SEMANTIC BREAKS",
+    "UnresolvedOld": "UNRESOLVED OLD CLASSES", "UnresolvedNew": "UNRESOLVED NEW CLASSES",
+}
+
+
+def write_mapping(x: DataFrame, out: str, preview: int = 2000, chunk: int = 10_000, names: tuple[str, str] = ("", "")) -> None:
     """mapping.txt with at most `preview` rows a section (0: all), and numbered chunks of everything when one is longer."""
     rows = mapping_rows(x).persist()
     totals = {r.status: r["count"] for r in rows.groupBy("status").count().collect()}
@@ -85,11 +94,11 @@ def write_mapping(x: DataFrame, out: str, preview: int = 2000, chunk: int = 10_0
         for i, status in enumerate(STATUSES):
             if i:
                 yield ""
-            yield f"# {status}"
+            yield TITLES[status]
             mine = rows.where(F.col("status") == status)
             yield from _lines((mine.where(F.col("n") <= preview) if preview else mine).orderBy("n"), "text")
-            if preview and (more := totals.get(status, 0) - preview) > 0:
-                yield f"... truncated: {more} more rows"
+            if preview and (total := totals.get(status, 0)) > preview:
+                yield f"... truncated: showing {preview} of {total} rows; full rows are in mapping-index.txt when chunking is enabled; use --max-txt-rows 0 for one full TXT"
 
     _write(os.path.join(out, "mapping.txt"), sections())
     folder, index = os.path.join(out, "mapping-parts"), os.path.join(out, "mapping-index.txt")
@@ -99,13 +108,18 @@ def write_mapping(x: DataFrame, out: str, preview: int = 2000, chunk: int = 10_0
     if not preview or not chunk or not any(n > preview for n in totals.values()):
         return
     os.makedirs(folder, exist_ok=True)
-    names = []
+    apks = [f"old_apk: {names[0]}", f"new_apk: {names[1]}", ""]
+    listed = ["MAPPING INDEX", "preview: mapping.txt", "parts_dir: mapping-parts", f"chunk_rows: {chunk}", *apks]
     for status in STATUSES:
-        for k in range(-(-totals.get(status, 0) // chunk)):
-            names.append(f"{status.lower()}-{k + 1:04d}.txt")
+        total = totals.get(status, 0)
+        listed.append(f"{TITLES[status]}: {total} rows")
+        for k in range(-(-total // chunk)):
+            name, span = f"{TITLES[status].lower().replace(' ', '-')}-{k + 1:04d}.txt", f"rows {k * chunk + 1}-{min((k + 1) * chunk, total)} of {total}"
+            listed.append(f"  mapping-parts/{name}: {span}")
             mine = rows.where((F.col("status") == status) & (F.floor((F.col("n") - 1) / chunk) == k)).orderBy("n")
-            _write(os.path.join(folder, names[-1]), _lines(mine, "text"))
-    _write(index, names)
+            _write(os.path.join(folder, name), [TITLES[status], span, *apks, *_lines(mine, "text")])
+        listed.append("")
+    _write(index, listed)
 
 
 def write_tiers(x: DataFrame, out: str) -> None:
@@ -117,7 +131,7 @@ def write_tiers(x: DataFrame, out: str) -> None:
 
 
 def _why_unsafe(status: Column, reasons: Column) -> Column:
-    return F.when(has_reason(reasons, SEMANTIC_BREAK), F.lit("semantic break")).when(has_reason(reasons, WEAK_SHAPE), F.lit("weak same descriptor")).otherwise(status)
+    return F.when(has_reason(reasons, SEMANTIC_BREAK), F.lit("semantic break")).when(has_reason(reasons, WEAK_SHAPE), F.lit("weak same-descriptor match")).otherwise(status)
 
 
 def proguard_lines(x: DataFrame, old_to_new: bool) -> DataFrame:
@@ -132,9 +146,21 @@ def write_members(c, out: str) -> None:
     for name, rows in (("methods", c.methods), ("fields", c.fields)):
         if rows is None or rows.isEmpty():
             continue
-        label = lambda side: F.coalesce(F.concat(f"{side}_owner_class", F.lit("#"), F.col(f"{side}_member_id").cast("string")), F.lit(""))
-        text = F.concat_ws("\t", tsv_safe(label("old")), tsv_safe(label("new")), two_decimals(F.col("score")), "status", tsv_safe(F.array_join("reasons", "; ")))
-        _write(os.path.join(out, f"{name}.tsv"), ["old\tnew\tscore\tstatus\treasons", *_lines(rows.select(text.alias("text")), "text")])
+        for side, classes in (("old", c.old.classes), ("new", c.new.classes)):
+            rows = rows.join(_member_texts(classes, name, side), f"{side}_member_id", "left")
+        cells = [tsv_safe(F.col(f"{side}_{what}")) for side in ("old", "new") for what in ("label", "text")]
+        text = F.concat_ws("\t", *cells, two_decimals(F.col("score")), "status", tsv_safe(F.array_join("reasons", "; ")))
+        rows = rows.orderBy(*[F.asc_nulls_last(k) for k in ("old_owner_class", "old_member_id", "new_member_id")]).select(text.alias("text"))
+        one = name.removesuffix("s")
+        _write(os.path.join(out, f"{name}.tsv"), [f"old_class\told_{one}\tnew_class\tnew_{one}\tscore\tstatus\treasons", *_lines(rows, "text")])
+
+
+def _member_texts(classes: DataFrame, members: str, side: str) -> DataFrame:
+    """Of each member of an app: its id, its class's label and its signature."""
+    m = F.col("m")
+    text = F.concat(m["name"], F.lit("("), F.array_join(m["parameters"], ","), F.lit(")->"), m["return_type"]) if members == "methods" else F.concat(m["name"], F.lit(":"), m["field_type"])
+    x = classes.select("id", "descriptor", "origin", F.explode(members).alias("m"))
+    return x.select(m["id"].alias(f"{side}_member_id"), class_label(F.col("id"), F.col("descriptor"), F.col("origin")).alias(f"{side}_label"), text.alias(f"{side}_text"))
 
 
 def _app_json(app) -> Iterator[str]:
@@ -186,7 +212,7 @@ def write_reports(spark: SparkSession, c, out: str, html: bool = True, json_file
     c.classes = c.classes.persist()
     x = labelled(c.classes, c.old.classes, c.new.classes).persist()
     _write(os.path.join(out, "summary.txt"), summary_lines(c))
-    write_mapping(x, out, preview, chunk)
+    write_mapping(x, out, preview, chunk, (c.old.name, c.new.name))
     write_tiers(x, out)
     write_members(c, out)
     if json_file:

@@ -1,7 +1,7 @@
 import pytest
 
 from artifactlink import cli
-from artifactlink.errors import DexError, InputError
+from artifactlink.errors import ArtifactError, DexError, InputError
 from artifactlink.operators.inspect import totals
 from artifactlink.operators.mapping import Rewriter
 from artifactlink.plans import commands as C
@@ -113,7 +113,11 @@ def test_sections_are_cut_into_chunks(spark, tmp_path):
     c = C.compare(spark, str(tmp_path / "o.apk"), str(tmp_path / "o.apk"), C.MatchConfig(verified_only=False), low_memory=True)
     write_reports(spark, c, str(tmp_path / "r"), html=False, preview=3, chunk=4)
     assert "... truncated" in (tmp_path / "r" / "mapping.txt").read_text()
-    assert (tmp_path / "r" / "mapping-index.txt").read_text().split() == ["matched-0001.txt", "matched-0002.txt"]
+    index = (tmp_path / "r" / "mapping-index.txt").read_text().splitlines()
+    assert index[3:7] == ["chunk_rows: 4", "old_apk: o.apk", "new_apk: o.apk", ""]
+    assert index[7:10] == ["MATCHED CLASSES: 7 rows", "  mapping-parts/matched-classes-0001.txt: rows 1-4 of 7", "  mapping-parts/matched-classes-0002.txt: rows 5-7 of 7"]
+    part = (tmp_path / "r" / "mapping-parts" / "matched-classes-0002.txt").read_text().splitlines()
+    assert part[:2] == ["MATCHED CLASSES", "rows 5-7 of 7"] and part[5].startswith("[1.00] La/C4; ")
 
 
 def test_audit(spark, tmp_path):
@@ -145,6 +149,31 @@ def test_audit(spark, tmp_path):
         C.audit_references(spark, str(tmp_path / "t.apk"), source_dex=["classes7.dex"])
 
 
+def test_audit_inputs(spark, tmp_path):
+    code = [("call", "Ltest/A;", "run", [], "V")]
+    source = dex(Class("Lx/S;", None, methods=[Method("go", kind="static", code=code)]))
+    good = dex(Class("Ltest/A;", methods=[Method("run", kind="virtual")]))
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.dex").write_bytes(source)
+    refs = [str(tmp_path / f / "s.dex") for f in ("one", "two")]
+    (tmp_path / "t.apk").write_bytes(archive(**{"classes.dex": good}))
+    x = C.audit_references(spark, str(tmp_path / "t.apk"), references=refs).collect()
+    assert len({r.site_id for r in x}) == len(x) == 2
+    assert {(r.part, r.dex, r.outcome) for r in x} == {("standalone", p, "resolved") for p in refs}
+    # a name with a huge number is loaded last, so the first definition counts
+    (tmp_path / "h.apk").write_bytes(archive(**{"classes.dex": good, "classes99999999999999999999.dex": dex(Class("Ltest/A;", methods=[Method("other", kind="virtual")]))}))
+    assert [r.outcome for r in C.audit_references(spark, str(tmp_path / "h.apk"), references=refs[:1]).collect()] == ["resolved"]
+    (tmp_path / "d.apk").write_bytes(archive(**{"classes.dex": good, "classes2.dex": b"dex\nbroken"}))
+    with pytest.raises(ArtifactError):
+        C.audit_references(spark, str(tmp_path / "d.apk"), references=refs[:1])
+    (tmp_path / "split").mkdir()
+    (tmp_path / "split" / "base.apk").write_bytes(archive(**{"classes.dex": good}))
+    (tmp_path / "split" / "feature.apk").write_bytes(b"no archive")
+    with pytest.raises(ArtifactError):
+        C.audit_references(spark, str(tmp_path / "split"), references=refs[:1])
+
+
 def test_inspect_command(tmp_path, spark):
     old, _ = write_pair(tmp_path)
     assert cli.main(["inspect", old, "-o", str(tmp_path / "i")]) == 0
