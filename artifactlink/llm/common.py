@@ -8,7 +8,9 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +78,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def one_thread() -> None:
+    """numpy's matrix products in this worker process use one thread: the others would only wait, and use up its core."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def project(docs: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under internal names, so that extra or clashing columns of the input never matter."""
     return docs.select(*[docs[c].alias(name) for name, c in columns.items()])

@@ -165,3 +165,21 @@ def test_every_language_is_learned(spark):
     rows = frame(spark, [(i, f"text number {i}", f"l{i % 70:02}", "s") for i in range(140)]).select("doc_id", "text", "lang")
     langs, _, _, labels = langid.training_windows(rows, 1500, 4, 64)
     assert langs == [f"l{i:02}" for i in range(70)] and set(labels.tolist()) == set(range(70))
+
+
+def test_equal_positions_are_trained_on_as_one_with_their_weight():
+    rng = np.random.default_rng(3)
+    layout = neural_lm.Layout(9, 3, 2)
+    texts = [rng.integers(0, 10, rng.integers(1, 40)).astype(np.int32) for _ in range(60)] + [np.zeros(90, np.int32)]
+    want: Counter = Counter()
+    for t in texts:
+        full = [layout.n + 1, layout.n + 1, *t.tolist()]
+        want.update(zip(full[1:], full, full[2:]))
+    one, two, heads, ids, weight = neural_lm.chunks_of([t.tobytes() for t in texts], layout)
+    got: Counter = Counter()
+    for a, b, lo, hi in zip(one.tolist(), two.tolist(), heads, [*heads[1:], len(ids)]):
+        assert 0 < hi - lo <= neural_lm.CHUNK
+        for x, k in zip(ids[lo:hi].tolist(), weight[lo:hi].tolist()):
+            got[b, a, x] += k
+    assert weight.max() <= neural_lm.HEAVIEST and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(n, rel=1e-5) for k, n in want.items()) and sum(want.values()) == sum(map(len, texts))
