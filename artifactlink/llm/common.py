@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import contextlib
+import copy
 import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def own_value(shared: Broadcast) -> Any:
+    """A copy of a broadcast value that the task may change, and that its worker, which outlives it, doesn't keep."""
+    if getattr(shared, "_path", None) is None:  # encrypted ones are read once
+        return copy.deepcopy(shared.value)
+    value = shared.value
+    vars(shared).pop("_value", None)
+    return value
+
+
 def one_thread() -> None:
     """numpy's matrix products in this worker process use one thread: the others would only wait, and use up its core."""
     for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):

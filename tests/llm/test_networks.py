@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from artifactlink.llm import bigru, langid, neural_lm, toxicity
@@ -124,6 +125,28 @@ def test_class_probabilities_sum_to_one_and_learn():
     assert right.mean() > 0.6
 
 
+def test_scores_are_summed_whatever_their_size():
+    rng = np.random.default_rng(2)
+    r, out, bias = rng.normal(0, 1, (600, 5)).astype(np.float32), rng.normal(0, 1, (40, 5)).astype(np.float32), rng.normal(-3, 1, 40).astype(np.float32)
+    r[300:310] *= 200
+    s = r.astype(float) @ out.T.astype(float) + bias
+    want = s.max(1) + np.log(np.exp(s - s.max(1)[:, None]).sum(1))
+    assert np.allclose(neural_lm.log_sums(r, out, bias), want, rtol=1e-5, atol=1e-4)
+    assert len(neural_lm.log_sums(r[:0], out, bias)) == 0
+
+
+def test_words_by_arrow_are_the_words():
+    texts = [*[t for _, t in enumerate(odd_texts(12))], None, "", " ", "a", " A\x0bb\x1cc\u00a0D\u2003e \x0c", "x" * 300_000, "b a"]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"]).slice(1)
+    words, sizes = neural_lm.words_of(batch)
+    want = [neural_lm.lm_words((t or "").encode()) for t in texts[1:]]
+    assert sizes.tolist() == [len(w) - 1 for w in want]
+    vocabulary = pa.array([b"b", neural_lm.END, b"a"], pa.large_binary())
+    place = {b"b": 0, neural_lm.END: 1, b"a": 2}
+    assert neural_lm.numbers_of(words, sizes, vocabulary).tolist() == [place.get(x, -1) for w in want for x in w]
+    assert neural_lm.numbers_of(words, sizes, vocabulary[:0]).tolist() == [-1] * sum(map(len, want))
+
+
 def test_held_out_text_is_likelier_than_by_word_counts(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     r = neural_lm.lm_scores(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
@@ -135,12 +158,13 @@ def test_every_training_position_is_trained_on(spark):
     docs = frame(spark, [*enumerate(texts)])
     words = Counter(w for t in texts for w in neural_lm.lm_words(t.encode()))
     ids = {w: i for i, (w, _) in enumerate(words.most_common())}
+    vocabulary = pa.array(list(ids), pa.large_binary())
     layout, tokens = neural_lm.layout_of(len(ids), 8), sum(words.values())
-    table = neural_lm.encode(docs, ids, layout.n, 6, [1, 1, 2, 2]).collect()
+    table = neural_lm.encode(docs, vocabulary, layout.n, 6, [1, 1, 2, 2]).collect()
     assert sorted(r.ids for r in table) == sorted(np.array([ids[w] for w in neural_lm.lm_words(t.encode())], np.int32).tobytes() for t in texts)
     assert all(r["round"] == [0, 1, 2, 2, 3, 3][r.shard] for r in table)
     share, tail = np.full(layout.classes, 1 / layout.classes), np.zeros(layout.n - layout.head)
-    model = neural_lm.train_rounds(docs, ids, layout, share, tail, tokens, 1, 4, shard_size=tokens // 6 + 1)
+    model = neural_lm.train_rounds(docs, vocabulary, layout, share, tail, tokens, 1, 4, shard_size=tokens // 6 + 1)
     start, _ = neural_lm.start_net(layout.n + 2, share, tail, 4, 7)
     moved = (model.net["r"] != start["r"]).any(1)
     assert moved[[i for w, i in ids.items() if w != neural_lm.END]].all() and moved[layout.n + 1]
