@@ -65,16 +65,38 @@ def anchor_candidates(old: DataFrame, new: DataFrame, limit: int) -> DataFrame:
     return _met(items(old, True), postings.join(short, ["kind", "value"]), 1)
 
 
+def _counts(fp: DataFrame, name: str) -> DataFrame:
+    return fp.select(F.col("class_id").alias(f"{name}_id"), F.col("descriptor").alias(f"{name}_descriptor"), F.size("method_shapes").alias("m"), F.size("field_shapes").alias("f"))
+
+
+def _bands(old: DataFrame) -> DataFrame:
+    """`near`, a row for every method count of the band of (m, f), and `df`, half the width of its field band."""
+    o = old.withColumns({"dm": F.expr("greatest(m, 4) div 2"), "df": F.expr("greatest(f, 4) div 2")})
+    return o.withColumn("near", F.explode(F.sequence(F.greatest(F.col("m") - F.col("dm"), F.lit(0)), F.col("m") + F.col("dm")))).withColumn("near", F.col("near").cast("int"))
+
+
 def band_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Classes whose method and field counts are near: |dm| <= max(m, 4) div 2, |df| <= max(f, 4) div 2 by the old side.
 
-    An old class meets every method count of its band by an equi-join; the field band is a filter on top."""
-    m, f = F.size("method_shapes"), F.size("field_shapes")
-    o = old.select(F.col("class_id").alias("old_id"), m.alias("m"), f.alias("f"))
-    o = o.withColumns({"dm": F.expr("greatest(m, 4) div 2"), "df": F.expr("greatest(f, 4) div 2")})
-    o = o.withColumn("near", F.explode(F.sequence(F.greatest(F.col("m") - F.col("dm"), F.lit(0)), F.col("m") + F.col("dm")))).withColumn("near", F.col("near").cast("int"))
-    n = new.select(F.col("class_id").alias("new_id"), F.col("descriptor").alias("new_descriptor"), m.alias("near"), f.alias("nf"))
-    hits = o.join(n, "near").where(F.abs(F.col("f") - F.col("nf")) <= F.col("df"))
+    An old class meets every method count of its band by an equi-join; the field band is a filter on top. These are all
+    pairs of classes of one shape: a capped scan takes `first_band_candidates`."""
+    hits = _bands(_counts(old, "old")).join(_counts(new, "new").withColumnsRenamed({"m": "near", "f": "nf"}), "near").where(F.abs(F.col("f") - F.col("nf")) <= F.col("df"))
+    return hits.select("old_id", "new_id", _position(2, F.col("near"), F.col("nf")))
+
+
+def first_band_candidates(old: DataFrame, new: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` of `band_candidates` of each old class, in the order of a scan, without the pairs beyond.
+
+    Distinct (method count, field count) shapes meet first, with how many new classes have each: their running sum tells
+    which shapes a scan reaches, and how many of their classes it takes. Only these meet the old classes. A scan that
+    other candidates precede takes no later ones, so `limit` is enough for it."""
+    o, n = _counts(old, "old"), _counts(new, "new").withColumnsRenamed({"m": "near", "f": "nf"})
+    shapes = n.groupBy("near", "nf").agg(F.count(F.lit(1)).alias("size"))
+    met = _bands(o.select("m", "f").distinct()).join(shapes, "near").where(F.abs(F.col("f") - F.col("nf")) <= F.col("df"))
+    before = F.sum("size").over(Window.partitionBy("m", "f").orderBy("near", "nf").rowsBetween(Window.unboundedPreceding, -1))
+    reached = met.withColumn("take", F.lit(limit) - F.coalesce(before, F.lit(0))).where(F.col("take") > 0).select("m", "f", "near", "nf", "take")
+    first = n.withColumn("rn", F.row_number().over(Window.partitionBy("near", "nf").orderBy("new_descriptor", "new_id"))).where(F.col("rn") <= limit)
+    hits = o.drop("old_descriptor").join(reached, ["m", "f"]).join(first, ["near", "nf"]).where(F.col("rn") <= F.col("take"))
     return hits.select("old_id", "new_id", _position(2, F.col("near"), F.col("nf")))
 
 
@@ -86,7 +108,7 @@ def scan(candidates: DataFrame, limit: int) -> DataFrame:
 
 def block(old: DataFrame, new: DataFrame, rare: DataFrame, k: int) -> DataFrame:
     limit = scan_limit(k)
-    return scan(rare_candidates(old, new, rare).unionByName(anchor_candidates(old, new, limit)).unionByName(band_candidates(old, new)), limit)
+    return scan(rare_candidates(old, new, rare).unionByName(anchor_candidates(old, new, limit)).unionByName(first_band_candidates(old, new, limit)), limit)
 
 
 def fallback_pairs(left: DataFrame, new: DataFrame, limit: int) -> DataFrame:

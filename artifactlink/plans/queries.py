@@ -284,7 +284,7 @@ def count_band_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_COUNTS} SELECT old_id, new_id FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY m, f, descriptor, new_id) AS rn FROM met) WHERE rn <= 7")
 def candidate_scan_cap(spark: SparkSession, d: str) -> DataFrame:
-    return C.scan(C.band_candidates(*_count_sides(spark, d)), 7)
+    return C.scan(C.first_band_candidates(*_count_sides(spark, d), 7), 7)
 
 
 @query(f"""{_HALVES}, po AS (SELECT class_id AS new_id, descriptor, unnest(range(1, len(method_ref_shapes) + 1)) AS i, method_ref_shapes FROM n),
