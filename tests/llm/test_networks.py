@@ -207,3 +207,39 @@ def test_equal_positions_are_trained_on_as_one_with_their_weight():
             got[b, a, x] += k
     assert weight.max() <= neural_lm.HEAVIEST and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(n, rel=1e-5) for k, n in want.items()) and sum(want.values()) == sum(map(len, texts))
+
+
+def test_what_shards_send_follows_the_text_not_the_network():
+    n, rows = 440_000, np.arange(neural_lm.ROWS)
+    sent = lambda dim: len(neural_lm._pack(rows, rows, rows, np.zeros((len(rows), dim))))
+    a_word = (2 * sent(24) + sent(1)) / len(rows)
+    for tokens in (0, 1, 10**8, 10**10):
+        assert neural_lm.shards_of(tokens, n) * n * a_word <= 2.01 * tokens + n * a_word
+    assert neural_lm.shards_of(10**8, 1000) == 13
+
+
+def test_states_average_by_how_often_rows_moved():
+    one = neural_lm._pack(np.array([0, 4095]), np.array([1, 2]), np.array([0.5, 1]), np.array([[1.0, -2], [0.25, 4]]))
+    two = neural_lm._pack(np.array([4095]), np.array([6]), np.array([2]), np.array([[1.25, 0]]))
+    rows, weight, gain, change = neural_lm._unpack(neural_lm._average([one, two]))
+    assert rows.tolist() == [0, 4095] and weight.tolist() == [1, 8] and gain.tolist() == [0.5, 3] and change.tolist() == [[1, -2], [1, 1]]
+
+
+def test_sums_of_runs_are_those_of_reduceat():
+    rng = np.random.default_rng(5)
+    for top in (2, 40, 4000):
+        by, starts, _ = neural_lm._runs(rng.integers(0, top, 2000))
+        g = rng.normal(size=(2000, 5)).astype(np.float32)
+        assert np.allclose(neural_lm._sums(g, starts, by), np.add.reduceat(g[by], starts, axis=0), atol=1e-4)
+        assert np.allclose(neural_lm._sums(g, starts), np.add.reduceat(g, starts, axis=0), atol=1e-4)
+
+
+def test_words_counted_by_arrow(spark, monkeypatch):
+    texts = [*odd_texts(40), None, "", "A a\x0bb", "a " * 500]
+    got = {bytes(r.word): r.n for r in neural_lm.counted_words(frame(spark, [*enumerate(texts)])).collect()}
+    assert got == Counter(w for t in texts for w in neural_lm.lm_words((t or "").encode()))
+    monkeypatch.setattr(neural_lm, "TEXT_BYTES", 50)
+    batches = [pa.record_batch([pa.array(texts[i : i + 3], pa.string())], ["text"]) for i in range(0, len(texts), 3)]
+    pieces = list(neural_lm.gathered(iter(batches)))
+    assert [t for b in pieces for t in b.column(0).to_pylist()] == texts and len(pieces) > 2
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= 50 for b in pieces)
