@@ -243,3 +243,12 @@ def test_words_counted_by_arrow(spark, monkeypatch):
     pieces = list(neural_lm.gathered(iter(batches)))
     assert [t for b in pieces for t in b.column(0).to_pylist()] == texts and len(pieces) > 2
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= 50 for b in pieces)
+
+
+def test_words_of_slices_of_large_batches():
+    texts = [f"Text {i} of A large\tbatch\u00e9 " * (1 + i % 40) for i in range(4000)]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    for at, n in ((1, 5), (700, 900), (2500, 1500)):
+        words, sizes = neural_lm.words_of(batch.slice(at, n))
+        want = [neural_lm.lm_words(t.encode())[:-1] for t in texts[at : at + n]]
+        assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
