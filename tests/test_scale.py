@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from artifactlink.operators import candidates
 
 SET = "class_id long, descriptor string, strings array<string>"
@@ -36,3 +38,17 @@ def test_near_sets_lose_none_and_leave_few(spark):
     want = {(i, j) for i, _, a in olds for j, _, b in news if alike(set(a or []), set(b))}
     assert len(got) == len(set(got)) and want <= set(got) and len(want) > 15
     assert len(got) < 1.3 * len(want)
+
+
+def test_band_pairs_of_one_shape_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BAND_BLOCK", 10)
+    rng = random.Random(6)
+    shape = lambda i: (rng.randrange(12), rng.randrange(9)) if i % 4 == 0 else (7, 5)
+    side = lambda n: [(i, "L;", ["m"] * m, ["f"] * f) for i in range(n) for m, f in [shape(i)]]
+    olds, news = side(60), side(80)
+    schema = "class_id long, descriptor string, method_shapes array<string>, field_shapes array<string>"
+    got = candidates.band_pairs(spark.createDataFrame(olds, schema), spark.createDataFrame(news, schema)).withColumn("task", F.spark_partition_id()).collect()
+    near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), 4) // 2
+    assert sorted((r.old_id, r.new_id) for r in got) == sorted((i, j) for i, _, m, f in olds for j, _, n, g in news if near(m, n) and near(f, g))
+    hot = Counter(r.task for r in got if r.old_id % 4 and r.new_id % 4)
+    assert len(hot) > 1 and max(hot.values()) < 0.6 * sum(hot.values())
