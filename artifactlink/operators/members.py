@@ -5,12 +5,12 @@ A member's candidates stay inside its class pair, so all joins are on the pair;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artifactlink.functions.similarity import bounded_ratio, control_flow_score, equal_score, f32, histogram_cosine, signal_jaccard
 from artifactlink.functions.text import two_decimals
-from artifactlink.operators.decide import MatchConfig, member_status, top_candidates
+from artifactlink.operators.decide import MatchConfig, member_status
 from artifactlink.schemas import CANDIDATE
 
 NO_NEW = "no new member candidate above low-confidence threshold"
@@ -65,41 +65,79 @@ def _buckets(members: str, a: Column, b: Column) -> list[Column]:
     return [a["name"] == b["name"], (a["return_type"] == b["return_type"]) & (a["parameters"] == b["parameters"]), shared("string_refs"), shared("method_refs")]
 
 
+def _once(x: DataFrame, **cols: Column) -> DataFrame:
+    """Columns that are computed once a row: the optimizer would write a plain projection's expression wherever it is read."""
+    for name, c in cols.items():
+        x = x.withColumn("_one", F.array(c))
+        x = x.select(*[k for k in x.columns if k != "_one"], F.explode("_one").alias(name))
+    return x
+
+
 def candidates(pairs: DataFrame, old: DataFrame, new: DataFrame, members: str, k: int) -> DataFrame:
-    """Old members with the new members that they are scored against.
+    """Old members with `news`, the members of the new class, and `chosen`, the places in it that they are scored against.
 
     The cap is looked at after each candidate, so a bucket that begins over the cap still gives one; if no bucket gives
-    any, the first `cap` members of the new class are taken."""
+    any, the first `cap` members of the new class are taken. All of this is inside an old member's row: pairs of members
+    are no rows, and take no shuffle."""
     cap = member_cap(k)
-    x = _side(pairs, old, "old", members).join(_side(pairs, new, "new", members), ["old_class_id", "new_class_id"])
-    bucket = F.lit(None).cast("int")
-    for i, met in reversed(list(enumerate(_buckets(members, F.col("old"), F.col("new"))))):
-        bucket = F.when(F.coalesce(met, F.lit(False)), i).otherwise(bucket)
-    x = x.withColumn("bucket", bucket)
-    by = Window.partitionBy(*KEYS)
-    x = x.withColumns({"any": F.count("bucket").over(by), "rn": F.row_number().over(by.orderBy(F.asc_nulls_last("bucket"), "new_pos"))})
-    x = x.withColumn("in_bucket", F.row_number().over(Window.partitionBy(*KEYS, "bucket").orderBy("new_pos")))
-    return x.where(F.when(F.col("any") > 0, F.col("bucket").isNotNull() & ((F.col("rn") <= cap) | (F.col("in_bucket") == 1))).otherwise(F.col("rn") <= cap))
+    news = new.select(F.col("id").alias("new_class_id"), F.coalesce(F.col(members), F.filter(members, lambda x: F.lit(False))).alias("news"))
+    x = _side(pairs, old, "old", members).join(news, "new_class_id")
+    buckets = len(_buckets(members, F.col("old"), F.col("old")))
+
+    def bucket(n: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for i, met in reversed(list(enumerate(_buckets(members, F.col("old"), n)))):
+            out = F.when(F.coalesce(met, F.lit(False)), i).otherwise(out)
+        return out
+
+    x = _once(x, met=F.transform("news", bucket))
+    places = F.sequence(F.lit(0), F.size("news") - 1)
+    place_of = lambda i: F.filter(places, lambda p: F.coalesce(F.get("met", p) == i, F.lit(False)))
+    x = _once(x, **{f"in_{i}": place_of(i) for i in range(buckets)})
+    before, parts = F.lit(0), []
+    for i in range(buckets):
+        parts.append(F.slice(f"in_{i}", 1, F.greatest(F.lit(cap) - before, F.lit(1))))
+        before = before + F.size(f"in_{i}")
+    chosen = F.when(before > 0, F.concat(*parts)).otherwise(F.slice(places, 1, cap))
+    return _once(x.where(F.size("news") > 0), chosen=chosen)
+
+
+def best_members(x: DataFrame, members: str, config: MatchConfig) -> DataFrame:
+    """KEYS, old_owner_class, new_owner_class of the best, and `candidates`: the best of `chosen` by score, then id."""
+    rate = score_method if members == "methods" else score_field
+
+    def row(p: Column) -> Column:
+        n = F.get("news", p)
+        score, reasons = rate(F.col("old"), n)
+        return F.struct((-score).alias("order"), n["id"].alias("entity_id"), score.cast("float").alias("score"), reasons.alias("reasons"), n["owner_class"].alias("owner"))
+
+    scored = F.filter(F.transform("chosen", row), lambda c: c["score"] >= f32(config.low_confidence))
+    x = _once(x, tops=F.slice(F.array_sort(scored), 1, config.max_candidates))
+    plain = F.transform("tops", lambda c: F.struct(c["entity_id"].alias("entity_id"), c["score"].alias("score"), c["reasons"].alias("reasons")))
+    return x.select(*KEYS, F.col("old.owner_class").alias("old_owner_class"), F.get("tops", F.lit(0))["owner"].alias("new_owner_class"), plain.alias("candidates"))
 
 
 def match_members(class_matches: DataFrame, old: DataFrame, new: DataFrame, members: str, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """`members`: "methods" or "fields" of two class tables (schemas.CLASSES) -> schemas.MEMBER_MATCH."""
+    """`members`: "methods" or "fields" of two class tables (schemas.CLASSES) -> schemas.MEMBER_MATCH, in the order of a report."""
+    return matched_members(class_matches, old, new, members, config).orderBy(F.asc_nulls_last("old_owner_class"), F.asc_nulls_last("old_member_id"), F.asc_nulls_last("new_member_id"))
+
+
+def matched_members(class_matches: DataFrame, old: DataFrame, new: DataFrame, members: str, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """The rows of `match_members` in no order."""
     pairs = accepted_pairs(class_matches)
-    score, reasons = (score_method if members == "methods" else score_field)(F.col("old"), F.col("new"))
-    scored = candidates(pairs, old, new, members, config.max_candidates).select(*KEYS, "new_id", score.alias("score"), reasons.alias("reasons"))
-    tops = top_candidates(scored.where(F.col("score") >= f32(config.low_confidence)), config.max_candidates, KEYS)
-    olds = _side(pairs, old, "old", members).select(*KEYS, F.col("old.owner_class").alias("old_owner_class"))
+    tops = best_members(candidates(pairs, old, new, members, config.max_candidates), members, config)
+    # old members of pairs whose new class has no members
+    empty = new.where(F.coalesce(F.size(members), F.lit(0)) <= 0).select(F.col("id").alias("new_class_id"))
+    alone = _side(pairs.join(empty, "new_class_id"), old, "old", members).select(*KEYS, F.col("old.owner_class").alias("old_owner_class"), F.lit(None).cast("string").alias("new_owner_class"), F.array().cast(f"array<{CANDIDATE}>").alias("candidates"))
+    x = tops.unionByName(alone)
     news = _side(pairs, new, "new", members).select("old_class_id", "new_class_id", "new_id", F.col("new.owner_class").alias("new_owner_class"))
-    x = olds.join(tops, list(KEYS), "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE}>")))
     best = F.get("candidates", F.lit(0))
-    x = x.select(*KEYS, "old_owner_class", best["entity_id"].alias("new_id"), F.coalesce(best["score"], f32(0.0)).alias("score"), member_status(F.col("candidates"), config.min_confidence).alias("status"), F.coalesce(best["reasons"], F.array(F.lit(NO_NEW))).alias("reasons"), "candidates")
-    x = x.join(news, ["old_class_id", "new_class_id", "new_id"], "left")
+    x = x.select(*KEYS, "old_owner_class", best["entity_id"].alias("new_id"), F.coalesce(best["score"], f32(0.0)).alias("score"), member_status(F.col("candidates"), config.min_confidence).alias("status"), F.coalesce(best["reasons"], F.array(F.lit(NO_NEW))).alias("reasons"), "candidates", "new_owner_class")
     used = x.where(F.col("status").isin("Matched", "LowConfidence", "Conflict")).select("old_class_id", "new_class_id", "new_id")
     left = news.join(used, ["old_class_id", "new_class_id", "new_id"], "left_anti").select(
         "old_class_id", "new_class_id", F.lit(None).cast("bigint").alias("old_id"), F.lit(None).cast("string").alias("old_owner_class"), "new_id", f32(0.0).alias("score"),
         F.lit("UnresolvedNew").alias("status"), F.array(F.lit(NO_OLD[members])).alias("reasons"), F.array().cast(f"array<{CANDIDATE}>").alias("candidates"), "new_owner_class",
     )
-    out = x.unionByName(left).select(
+    return x.unionByName(left).select(
         "old_class_id", "new_class_id", F.col("old_id").alias("old_member_id"), F.col("new_id").alias("new_member_id"), "old_owner_class", "new_owner_class", "score", "status", "reasons", "candidates"
     )
-    return out.orderBy(F.asc_nulls_last("old_owner_class"), F.asc_nulls_last("old_member_id"), F.asc_nulls_last("new_member_id"))

@@ -3,7 +3,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from artifactlink.operators import candidates
+from artifactlink.operators import candidates, members
+from artifactlink.schemas import FIELD
 
 SET = "class_id long, descriptor string, strings array<string>"
 
@@ -52,3 +53,25 @@ def test_band_pairs_of_one_shape_are_made_by_several_tasks(spark, monkeypatch):
     assert sorted((r.old_id, r.new_id) for r in got) == sorted((i, j) for i, _, m, f in olds for j, _, n, g in news if near(m, n) and near(f, g))
     hot = Counter(r.task for r in got if r.old_id % 4 and r.new_id % 4)
     assert len(hot) > 1 and max(hot.values()) < 0.6 * sum(hot.values())
+
+
+def test_members_meet_in_rows_with_cap_and_empty_sides(spark):
+    rng = random.Random(8)
+    field = lambda i, name, kind: (i, "L;", name, kind, 1)
+    olds = [(1, [field(i, f"n{rng.randrange(6)}", f"t{rng.randrange(3)}") for i in range(30)]), (2, [field(50, "a", "t")]), (3, None), (4, [field(60, "a", "t")])]
+    news = [(1, [field(100 + i, f"n{rng.randrange(6)}", f"t{rng.randrange(3)}") for i in range(400)]), (2, []), (3, [field(900, "b", "t")]), (4, [field(901, "z", "u")])]
+    frame = lambda rows: spark.createDataFrame(rows, f"id bigint, fields array<{FIELD}>")
+    pairs = spark.createDataFrame([(i, i, "Matched") for i in range(1, 5)], "old_class_id bigint, new_class_id bigint, status string")
+    out = members.match_members(pairs, frame(olds), frame(news), "fields")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    got = {r.old_member_id: [c.entity_id for c in r.candidates] for r in out.collect() if r.old_member_id is not None}
+    cap, want = members.member_cap(10), {}
+    for (c, os), (_, ns) in zip(olds, news):
+        for o in os or []:
+            groups = [[n for n in ns if n[2] == o[2]], [n for n in ns if n[2] != o[2] and n[3] == o[3]]]
+            met = groups[0][:cap] + groups[1][: max(cap - len(groups[0]), 1)] if any(groups) else ns[:cap]
+            scored = sorted((-(0.4 * (n[2] == o[2]) + 0.6 * (n[3] == o[3])), n[0]) for n in met)
+            want[o[0]] = [i for s, i in scored if -s >= 0.55][:10]
+    assert got == want and want[50] == want[60] == []
+    assert {r.new_member_id for r in out.collect() if r.status == "UnresolvedNew"} >= {900, 901}
